@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REST = "rest"
-GROUP = 1024
+GROUP = 128
 
 
 def schedule(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
