@@ -254,7 +254,7 @@ def _send(length: int, shards: int):
             again: list[tuple[bytes, int, int, int]] = []
             seen: dict[bytes, tuple[int, int, int]] = {}
             done: list[tuple[int, int, int]] = []
-            for d, text, h, send, split in rows:
+            for d, text, h, send, split, _ in rows:
                 if len(text) < length or not (send.is_valid and len(send) or split.is_valid and len(split)):
                     continue
                 a, s, n, k = pieces(np.frombuffer(text, np.uint8), length)
@@ -294,45 +294,53 @@ def _send(length: int, shards: int):
     return run
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Two-stage suffix array of a uint16 text, exact to ``depth`` symbols.
+def suffix_array(text: np.ndarray, depth: int, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+    """Two-stage suffix array of the bytes ``text``, exact to ``depth`` bytes.
 
-    A suffix smaller than its successor (type B) is sorted directly by its first symbols; one that is not (type A)
-    stands before all of type B in the bucket of its first symbol, in the order of its successor, so a scan of the
-    buckets from the smallest puts it in place. The end of the text is smaller than any symbol.
+    A suffix smaller than its successor (type B) is sorted directly by its first bytes; one that is not (type A)
+    stands before all of type B in the bucket of its first byte, in the order of its successor, so a scan of the
+    buckets from the smallest puts it in place. The end of the text is smaller than any byte.
+
+    With ``first`` and ``last`` (ascending, apart), only suffixes that start in these ranges are asked for; the
+    array then holds them and the successors that their places follow from.
     """
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
     step = np.flatnonzero(text[:-1] != text[1:])
-    after = np.searchsorted(step, np.arange(n - 1)) if n > 1 else np.zeros(0, np.int64)
+    up = text[step] < text[step + 1]
     smaller = np.zeros(n, bool)
-    inside = after < len(step)
-    smaller[:-1][inside] = text[step[after[inside]]] < text[step[after[inside]] + 1]
-    direct = np.flatnonzero(smaller)
-    padded = np.concatenate((text.astype(np.uint64) + U(1), np.zeros(depth + 8, np.uint64)))
-    words = []
-    for at in range(0, depth, 4):
-        word = np.zeros(len(direct), np.uint64)
-        for j in range(4):
-            word = (word << U(16)) | padded[direct + at + j]
-        words.append(word)
+    run = np.diff(step, prepend=-1)
+    smaller[: run.sum()] = np.repeat(up, run)
+    need = np.ones(n, bool)
+    if first is not None:
+        type_b = np.append(np.flatnonzero(smaller), n - 1)
+        reach = np.maximum(last, np.where(smaller[last - 1], last, type_b[np.searchsorted(type_b, last - 1)] + 1))
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, reach, -1)
+        need = np.cumsum(edge[:-1]) > 0
+    direct = np.flatnonzero(smaller & need)
+    padded = np.concatenate((text, np.zeros(depth + 8, np.uint8)))
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = [eights[direct + at].view(">u8").reshape(-1).astype(np.uint64) for at in range(0, depth, 8)]
     direct = direct[np.lexsort(words[::-1])]
-    counts = np.bincount(text, minlength=int(text.max()) + 1)
+    counts = np.bincount(text[need], minlength=256)
     begin = np.concatenate(([0], np.cumsum(counts)))
-    out = np.full(n, -1, np.int64)
-    b_first = text[direct]
-    b_counts = np.bincount(b_first, minlength=len(counts))
-    out[begin[b_first + 1] - b_counts[b_first] + np.arange(len(direct)) - (np.cumsum(b_counts) - b_counts)[b_first]] = direct
+    out = np.full(begin[-1], -1, np.int64)
+    head = text[direct]
+    b_counts = np.bincount(head, minlength=256)
+    out[begin[1:][head] - b_counts[head] + np.arange(len(direct)) - (np.cumsum(b_counts) - b_counts)[head]] = direct
     front = begin[:-1].copy()
+    induced = need & ~smaller
 
     def induce(suffixes: np.ndarray) -> None:
         before = suffixes[suffixes > 0] - 1
-        before = before[~smaller[before]]
+        before = before[induced[before]]
         symbol = text[before]
         order = np.argsort(symbol, kind="stable")
         before, symbol = before[order], symbol[order]
-        new = np.flatnonzero(firsts(symbol)) if len(symbol) else np.zeros(0, np.int64)
+        new = np.flatnonzero(firsts(symbol))
         size = np.diff(np.append(new, len(symbol)))
         out[front[symbol] + np.arange(len(symbol)) - np.repeat(new, size)] = before
         front[symbol[new]] += size
@@ -340,7 +348,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     induce(np.array([n]))
     for c in np.flatnonzero(counts):
         at = begin[c]
-        while at < front[c]:  # runs of one symbol induce within their own bucket
+        while at < front[c]:  # runs of one byte induce within their own bucket
             to = front[c]
             induce(out[at:to])
             at = to
@@ -349,17 +357,17 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def repeated(doc: np.ndarray, body: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, window start in it) of every window that also stands in a piece of a smaller id."""
+    """(piece, window start in it) of every window that also stands in a piece of a smaller id.
+
+    Pieces are set apart by a byte that UTF-8 never has; only windows inside one piece are looked at.
+    """
     sizes = np.array([len(b) for b in body])
-    text = np.frombuffer(b"\0".join(body) + b"\0", np.uint8).astype(np.uint16)
+    text = np.frombuffer(b"\xff".join(body) + b"\xff", np.uint8)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    text[begin + sizes] = 256
-    array = suffix_array(text, length)
-    owner = np.searchsorted(begin, array, "right") - 1
+    array = suffix_array(text, length, begin, begin + sizes - length + 1)
+    owner = np.repeat(np.arange(len(body), dtype=np.int32), sizes + 1)[array]
     whole = array + length <= (begin + sizes)[owner]
     array, owner = array[whole], owner[whole]
-    if not len(array):
-        return array, owner
     rows = np.lib.stride_tricks.sliding_window_view(text, length)
     same = np.zeros(len(array), bool)
     for at in range(1, len(array), 1 << 16):
@@ -435,12 +443,12 @@ def _apply(length: int, digests: bool):
         none = np.zeros((0, 2), np.int64)
         for rows in blocks(batches):
             out = []
-            for doc, text, lose, a, b, _ in rows:
-                spans = np.stack([np.asarray(a.values), np.asarray(b.values)], axis=1) if a.is_valid and len(a) else none
+            for doc, text, mark, lose, m, a, b, _ in rows:
+                spans = np.stack([np.asarray(a.values), np.asarray(b.values)], axis=1)[np.asarray(m.values) == mark.as_py()] if a.is_valid and len(a) else none
                 runs, kept = cut(text, np.asarray(lose.values) if lose.is_valid and len(lose) else none[:, 0], spans, length)
                 out.append((doc, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digests else kept, [x for x, _ in runs], [y for _, y in runs]))
             c = list(zip(*out, strict=True))
-            nulled = pa.array([None if row[5].as_py() else d for row, d in zip(rows, c[0], strict=True)], pa.int64())
+            nulled = pa.array([None if row[-1].as_py() else d for row, d in zip(rows, c[0], strict=True)], pa.int64())
             arrays = [nulled, *(pa.array(x, pa.int64()) for x in c[1:4])]
             if digests:
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(c[4])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -460,9 +468,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     pick = lambda action: F.collect_list(F.when(F.col("action") == action, F.col("key")))
     by_doc = verdicts.groupBy("doc_id").agg(pick(REMOVE).alias("lose"), pick(SEND).alias("send"), pick(SPLIT).alias("split"))
     told = rows.join(by_doc, "doc_id", "left")
-    sent = told.select("doc_id", "text", "mark", "send", "split").mapInArrow(_send(length, partitions(spark, 4)), "shard int, order long, doc_id long, mark long, start long, body binary")
+    # All that read ``told`` take the same columns and join on the id alone, so its texts are shuffled once.
+    sent = told.select("doc_id", "text", "mark", "send", "split", "no_id").mapInArrow(_send(length, partitions(spark, 4)), "shard int, order long, doc_id long, mark long, start long, body binary")
     spans = sent.groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, mark long, a long, b long")
-    spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("s")).select("doc_id", "mark", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    full = told.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "lose", "a", "b", "no_id")
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "a", "b")).alias("s")).select("doc_id", F.col("s.mark").alias("m"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    full = told.join(spans, "doc_id", "left").select("doc_id", "text", "mark", "lose", "m", "a", "b", "no_id")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "kept binary, begins array<long>, ends array<long>")
     return full.mapInArrow(_apply(length, digests), schema)
