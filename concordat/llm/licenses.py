@@ -1,9 +1,10 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
 Units are the whole text, its paragraphs (between blank lines) and its lines. A unit's words are lower-cased runs of
-letters and digits. With A and B the sets of bigrams of unit and template, Dice is 2 |A & B| / (|A| + |B|); it can
-reach the threshold t only if |A| lies between |B| t / (2 - t) and |B| (2 - t) / t, so units outside the bounds of
-every template go first, and the others meet only templates whose bounds they satisfy. The templates are constants
+letters and digits. With A the bigrams of a unit, repeats included, and B the set of a template's bigrams, each of
+which can be met once, Dice is 2 |A & B| / (|A| + |B|). It can reach the threshold t only if |A|, one less than the
+number of words, lies between |B| t / (2 - t) and |B| (2 - t) / t: units outside the bounds of every template go
+before any bigram is made, and the others meet only templates whose bounds they satisfy. The templates are constants
 of the plan, so nothing is shuffled and a row stands alone.
 
 A null or empty text has no match. Null ids and repeated rows are kept. Ties go to the first licence in order.
@@ -54,28 +55,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     folded = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
     lines = F.split("folded", "\n", -1)
-    paragraphs = F.split(F.regexp_replace(F.regexp_replace("folded", r"\n *(?=\n)", "\n"), r"\n{2,}", "\x01"), "\x01", -1)
-    units = F.array_distinct(F.transform(F.concat(F.array("folded"), paragraphs, lines), lambda u: F.btrim(F.regexp_replace(u, r"[ \n]+", " "), F.lit(" "))))
-    # A set of n bigrams takes at least n + 1 words, so at least 2n + 1 characters.
-    units = F.filter(units, lambda u: (u != "") & (F.char_length(u) > 2 * least))
+    paragraphs = F.when(F.col("folded").rlike(r"\n *\n"), F.split("folded", r"\n *\n[ \n]*", -1)).otherwise(F.array().cast("array<string>"))
 
-    def grams(unit: Column) -> Column:
-        words = F.split(unit, " ")
-        return F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    def one_line(u: Column) -> Column:
+        return F.btrim(F.regexp_replace(u, r" *\n[ \n]*", " "), F.lit(" "))
+
+    units = F.concat(F.array(one_line(F.col("folded"))), F.transform(paragraphs, one_line), F.transform(lines, lambda u: F.btrim(u, F.lit(" "))))
+    units = F.filter(F.array_distinct(units), lambda u: u != "")
+    bigrams = lambda u: F.char_length(u) - F.char_length(F.replace(u, F.lit(" "), F.lit("")))  # noqa: E731  one a blank
+    likely = F.filter("units", lambda u: bigrams(u).between(least, most))
+
+    def grams(words: Column) -> Column:
+        return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
 
     def score(found: Column, i: int) -> Column:
         (lo, hi), own = limits[i], known[i][1]
         shared = F.size(F.array_intersect(found, F.array(*[F.lit(g) for g in own])))
-        return F.when((F.size(found) >= lo) & (F.size(found) <= hi), F.round(2.0 * shared / (F.size(found) + len(own)), 6)).otherwise(F.lit(0.0))
+        return F.when(F.size(found).between(lo, hi), F.round(2.0 * shared / (F.size(found) + len(own)), 6)).otherwise(F.lit(0.0))
 
-    def match(unit: Column) -> Column:
-        found = grams(unit)
-        scored = F.array(*[F.struct(score(found, i).alias("score"), F.lit(-i).alias("i"), F.lit(name).alias("license")) for i, (name, _) in enumerate(known)])
-        return F.array_max(scored)
+    def match(found: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(score(found, i).alias("score"), F.lit(-i).alias("i"), F.lit(name).alias("license")) for i, (name, _) in enumerate(known)]))
 
-    words = lambda u: F.size(F.split(u, " ")) - 1
-    likely = F.filter("units", lambda u: (words(u) >= least) & (F.char_length(u) <= most * 200))
-    matches = F.filter(F.transform(F.filter(likely, lambda u: F.size(grams(u)).between(least, most)), match), lambda m: m["score"] >= threshold)
+    # Each step binds its result to the next one's variable, so no bigrams are made twice.
+    made = F.transform(F.transform(likely, lambda u: F.split(u, " ")), grams)
+    matches = F.filter(F.transform(made, match), lambda m: m["score"] >= threshold)
     return (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), folded.alias("folded"))
         .select("doc_id", units.alias("units"))
@@ -87,16 +90,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 def scan_sql(threshold: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> str:
     """The same in DuckDB SQL over the view ``documents``, comparing every unit with every template of fitting size."""
     rows = ", ".join(f"({i}, '{name}', [{', '.join(repr(g) for g in template_bigrams(text))}])" for i, (name, text) in enumerate(templates))
-    least = min(bounds(len(template_bigrams(text)), threshold)[0] for _, text in templates)
     return rf"""
 WITH templates(i, license, grams) AS (VALUES {rows}),
 folded AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS f FROM documents),
-split AS (SELECT r, doc_id, list_concat([f], string_split(regexp_replace(regexp_replace(f, '\n( *\n)+', chr(10) || chr(10), 'g'), '\n\n+', chr(1), 'g'), chr(1)), string_split(f, chr(10))) AS parts FROM folded),
-units AS (SELECT DISTINCT r, doc_id, u FROM (SELECT r, doc_id, trim(regexp_replace(unnest(parts), '[ \n]+', ' ', 'g'), ' ') AS u FROM split) WHERE u <> '' AND length(u) > {2 * least}),
+split AS (SELECT r, doc_id, list_concat([f], string_split(regexp_replace(f, '\n *\n[ \n]*', chr(1), 'g'), chr(1)), string_split(f, chr(10))) AS parts FROM folded),
+units AS (SELECT DISTINCT r, doc_id, u FROM (SELECT r, doc_id, trim(regexp_replace(unnest(parts), ' *\n[ \n]*', ' ', 'g'), ' ') AS u FROM split) WHERE u <> ''),
 counted AS (SELECT r, count(*) AS n FROM units GROUP BY r),
-words AS (SELECT r, u, string_split(u, ' ') AS w FROM units WHERE length(u) - length(replace(u, ' ', '')) BETWEEN 1 AND 5000),
-grams AS (SELECT r, u, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM words),
-scored AS (SELECT r, u, license, i, round(2.0 * len(list_intersect(grams.g, t.grams)) / (len(grams.g) + len(t.grams)), 6) AS score
+words AS (SELECT r, u, string_split(u, ' ') AS w FROM units WHERE contains(u, ' ')),
+grams AS (SELECT r, u, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) AS g FROM words),
+scored AS (SELECT r, u, license, i, round(2.0 * len(list_intersect(list_distinct(grams.g), t.grams)) / (len(grams.g) + len(t.grams)), 6) AS score
   FROM grams JOIN templates t ON len(grams.g) >= ceil(len(t.grams) * {threshold} / {2 - threshold} - 1e-9) AND len(grams.g) <= floor(len(t.grams) * {2 - threshold} / {threshold} + 1e-9)),
 best AS (SELECT * FROM scored WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY r, u ORDER BY score DESC, i) = 1),
 found AS (SELECT r, count(*) AS n, arg_max(license, score - i * 1e-9) AS license, max(score) AS score, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM best GROUP BY r)
