@@ -35,7 +35,7 @@ from .common import partitions
 
 ANCHOR = 24
 BLOCK = 1 << 23
-CROWD = 32
+CROWD = 128
 MAX_WINDOWS = 512
 SHARD_BYTES = 1 << 20
 STRETCH = 1 << 20
