@@ -105,8 +105,8 @@ def _stretch(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     powers = _powers(len(data) + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + U(1)) * _K[2] * powers[: len(data)])))
     content = (total[start + size + length - 1] - total[start]) * _inverse_powers(len(data) + 1)[start]
-    key = mixed(content + size.astype(np.uint64) * _K[0])
-    return low[start], start, size, key
+    key = mixed(content + size.astype(np.uint64) * _K[0]) & ~U(0xFF)  # 56 bits beside the anchor's 64
+    return mixed(low[start]), start, size, key  # minima crowd near 0, so anchors are mixed once more
 
 
 _BASE = 0x27D4EB2F165667C5
@@ -202,7 +202,7 @@ def _report(length: int, buckets: int):
 
 def _packed(anchor, key, doc, deal, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
     if len(anchor):
-        home = ((deal >> U(40)) % U(buckets)).astype(np.int64)
+        home = (((deal >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)  # ranges, so neighbours differ little
         order = np.lexsort((anchor, home))
         anchor, key, doc, home = anchor[order], key[order], doc[order], home[order]
         begin = np.flatnonzero(firsts(home))
