@@ -1,71 +1,12 @@
-"""Shared plumbing of the corpus operators: session settings, the shared folder, key hashing."""
+"""Shared plumbing of the corpus operators: the scratch folder and group counts."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..storage import Scratch, shared_dir
 
-#: Code points that the line and word operators treat as white space (space and tab to carriage return).
-ASCII_SPACE = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset (tests, local runs) a temporary folder of this machine takes its place.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _local_dir(spark)
-    return path.rstrip("/")
-
-
-def _local_dir(spark: SparkSession) -> str:
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    path = "file://" + tempfile.mkdtemp(prefix="concordat-")
-    spark.sparkContext.setCheckpointDir(path)
-    atexit.register(lambda: __import__("shutil").rmtree(path.removeprefix("file://"), ignore_errors=True))
-    return path
-
-
-class Scratch:
-    """Parquet tables in the shared folder that cut a lineage; ``drop`` deletes one that is no longer read."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/concordat-{uuid.uuid4().hex}"
-        self.count = 0
-        atexit.register(self._drop_all)
-
-    def path(self) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count}"
-
-    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
-        path = self.path()
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def drop(self, path: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-
-    def _drop_all(self) -> None:
-        with contextlib.suppress(Exception):
-            self.drop(self.root)
-
-
-def wide_hash(value: Column, name: str = "key") -> Column:
-    """128 bits as two independent xxhash64 values, in a struct of two longs."""
-    return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit("wide"), value).alias("b")).alias(name)
+__all__ = ["Scratch", "partitions", "shared_dir"]
 
 
 def partitions(spark: SparkSession, times: int = 1) -> int:

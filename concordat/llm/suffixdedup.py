@@ -411,8 +411,8 @@ def _sort_shard(length: int):
         new = firsts(doc, mark)
         new[1:] |= start[1:] > start[:-1] + length
         begin = np.flatnonzero(new)
-        last = np.append(begin[1:], len(start)) - 1
-        return pa.table({"doc_id": doc[begin], "mark": mark[begin], "a": start[begin], "b": (start[last] + length) if len(last) else start[:0]})
+        last = np.append(begin, len(start))[1:] - 1
+        return pa.table({"doc_id": doc[begin], "mark": mark[begin], "a": start[begin], "b": start[last] + length})
 
     return run
 

@@ -3,7 +3,7 @@
 Vectors become integers floor(256 x); queries and candidates are packed into blocks, and every tile (a block of the
 stated queries against a shard) is one matrix product with a partial selection. A task merges the lists of its
 tiles, salted groups of tasks merge theirs, and a last merge leaves k for each query. Scores are exact: a tile runs
-in float64 only while every sum stays below 2**53, otherwise in Python integers.
+in float64 only while every sum stays below 2**53, otherwise in Python integers; beyond a long they are its bounds.
 
 Vectors that are null, or hold a null or a non-finite component, and rows with a null id take no part, neither as
 query nor as candidate. Vectors of different length have no inner product and do not meet. A query's own id is no
@@ -49,9 +49,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if top < 1 << 53:
         return a.astype(np.float64) @ b.astype(np.float64).T
     exact = a.astype(object) @ b.astype(object).T
-    if max(map(abs, exact.ravel()), default=0) >= 1 << 63:
-        raise OverflowError("a score does not fit in a long")
-    return exact
+    return np.minimum(np.maximum(exact, -(1 << 63)), (1 << 63) - 1).astype(np.int64)
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -61,7 +59,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.
         line, names = scores[row], ids
         if (own := ids == query_ids[row]).any():
             line, names = line[~own], ids[~own]
-        if len(line) > k and line.dtype != object:
+        if len(line) > k:
             least = np.partition(line, len(line) - k)[len(line) - k]
             over, tied = np.flatnonzero(line > least), np.flatnonzero(line == least)
             pick = np.concatenate([over, tied[: k - len(over)]])
