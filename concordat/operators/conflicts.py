@@ -14,7 +14,12 @@ FIELDS = ["drive_id", "hash", "mtime", "version_vector", "tombstone"]
 
 
 def by_path(states: DataFrame) -> DataFrame:
-    """(path, vs): versions in the order of drive ids, each with its parsed vector ``m``. At most one a drive."""
+    """(path, vs): versions in the order of drive ids, each with its parsed vector ``m``. At most one a drive.
+
+    Given its own result it passes that on, so callers with several steps group and parse once.
+    """
+    if "vs" in states.columns:
+        return states
     rows = states.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("vs"))
     return rows.withColumn("vs", F.transform("vs", lambda v: F.struct(*[v[c].alias(c) for c in FIELDS], vv.parse(v["version_vector"]).alias("m"))))
 

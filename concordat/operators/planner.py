@@ -110,7 +110,12 @@ def file_ops(states: DataFrame, drives: DataFrame, resolutions: DataFrame, scope
 
 
 def operations(states: DataFrame, drives: DataFrame, resolutions: DataFrame, scope: str = "reference") -> DataFrame:
-    """Renames and file operations without directories and order; (target, path) of a rename is spared the rest."""
+    """Renames and file operations without directories and order; (target, path) of a rename is spared the rest.
+
+    Versions are grouped by path once and written, as renames and file operations read them several times.
+    """
+    if "vs" not in states.columns:
+        states, _ = Scratch(states.sparkSession).write(by_path(states))
     moved = rename_ops(states, drives)
     handled = moved.select("target_drive", F.explode(F.array("path", "new_path")).alias("path"))
     return moved.unionByName(file_ops(states, drives, resolutions, scope).join(handled, ["target_drive", "path"], "left_anti").select(*OPS))

@@ -201,21 +201,27 @@ def _resolutions(states, drives):
     return conflicts.resolve(states, drives).select("path", "winner")
 
 
-def _plan(s, d, states=None, scope="reference"):
-    states = _written(fx.states(s, d)) if states is None else states
-    return planner.plan(states, fx.drives(s), _resolutions(states, fx.drives(s)), scope), states
+def _versions(s, d, states=None) -> DataFrame:
+    return _written(conflicts.by_path(fx.states(s, d) if states is None else states))
+
+
+def _operations(s, d, states=None, scope="reference") -> DataFrame:
+    versions = _versions(s, d, states)
+    return planner.operations(versions, fx.drives(s), _resolutions(versions, fx.drives(s)), scope)
+
+
+def _plan(s, d, states=None, scope="reference") -> DataFrame:
+    return planner.order(_operations(s, d, states, scope))
 
 
 @query
 def plan_ops(s, d):
-    states = _written(fx.states(s, d))
-    return planner.operations(states, fx.drives(s), _resolutions(states, fx.drives(s)))
+    return _operations(s, d)
 
 
 @query
 def plan_ops_path_scope(s, d):
-    states = _written(fx.states(s, d))
-    return planner.operations(states, fx.drives(s), _resolutions(states, fx.drives(s)), "path")
+    return _operations(s, d, scope="path")
 
 
 @query
@@ -225,27 +231,23 @@ def plan_mkdirs(s, d):
 
 @query
 def sync_plan(s, d):
-    return _plan(s, d)[0]
+    return _plan(s, d)
 
 
 @query
 def plan_summary(s, d):
-    plan, states = _plan(s, d)
-    return planner.summary(plan, states)
+    return planner.summary(_plan(s, d), fx.states(s, d))
 
 
 @query
 def apply_plan(s, d):
-    states = _written(fx.states(s, d))
-    ops = planner.operations(states, fx.drives(s), _resolutions(states, fx.drives(s)))
-    return effects.apply(_written(ops), states)
+    return effects.apply(_written(_operations(s, d)), fx.states(s, d))
 
 
 @query
 def replan_after_apply(s, d):
     after = _written(apply_plan(s, d))
-    plan, _ = _plan(s, d, after)
-    return plan.groupBy("type").agg(F.count("*").alias("n_ops"))
+    return _plan(s, d, after).groupBy("type").agg(F.count("*").alias("n_ops"))
 
 
 @query

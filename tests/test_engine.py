@@ -126,7 +126,7 @@ def test_derived_manifests(spark, sf):
     got = Counter(r["strategy"] for r in queries.resolve_conflicts(spark, d).collect())
     assert tuple(got[s] for s in (conflicts.DOMINANT, conflicts.QUORUM, conflicts.TOMBSTONE, conflicts.LAST_WRITE, conflicts.COPY_ALL)) == want["strategies"]
     for scope in ("reference", "path"):
-        plan = queries._plan(spark, d, scope=scope)[0].collect()
+        plan = queries._plan(spark, d, scope=scope).collect()
         kinds = Counter(r["type"] for r in plan)
         assert tuple(kinds[k] for k in ("MKDIR", "RENAME", "REPLACE", "REMOVE", "COPY")) == want[scope]
         assert sorted(r["seq"] for r in plan) == list(range(1, len(plan) + 1))
