@@ -15,7 +15,9 @@ the same id follow each other, ordered by a hash of the whole row. An empty tabl
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,9 +65,9 @@ def mix(docs: DataFrame, weights: dict[str, int], block_docs: int = 16, id_col:
     spark = docs.sparkSession
     period = schedule(weights if REST in weights else {**weights, REST: 1})
     q = len(period)
-    plan = spark.createDataFrame(period, "stream string, place int, at int, first int, last int")
-    share = F.count("*").over(Window.partitionBy("stream"))
-    plan = plan.withColumn("a", share)
+    sizes = Counter(p[0] for p in period)
+    columns = [list(c) for c in zip(*[(*p, sizes[p[0]]) for p in period], strict=True)]
+    plan = spark.createDataFrame(pa.table(columns, ["stream", "place", "at", "first", "last", "a"]))  # a constant of the plan
     source = F.col(source_col).cast("string")
     doc = F.col(id_col).cast("long")
     stream = F.when(source.isin([w for w in weights if w != REST]), source).otherwise(F.lit(REST))
@@ -76,7 +78,7 @@ def mix(docs: DataFrame, weights: dict[str, int], block_docs: int = 16, id_col:
     rows = ranked(docs, stream, order, tie, payload)
     rows = rows.withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("_in", F.col("rank") % block_docs)
     shares = F.broadcast(plan.select("stream", "a").distinct())  # as many rows as weights
-    rows = rows.join(shares, "stream").withColumn("_period", F.expr("block div a")).withColumn("place", (F.col("block") % F.col("a")).cast("int"))
+    rows = rows.join(shares, "stream").withColumn("_period", F.expr("block div a")).withColumn("place", F.col("block") % F.col("a"))
     rows = rows.join(F.broadcast(plan.drop("a")), ["stream", "place"])  # as many rows as the weights sum to
     base = F.col("_period") * q
     rows = rows.select("doc_id", "source", "stream", "block", (base + F.col("at")).alias("slot"), (base + F.col("first")).alias("release"), (base + F.col("last")).alias("deadline"), "_in", "row_hash")
