@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 REST = "rest"
 GROUP = 128
 
@@ -82,7 +84,8 @@ def mix(docs: DataFrame, weights: dict[str, int], block_docs: int = 16, id_col:
     rows = rows.join(F.broadcast(plan.drop("a")), ["stream", "place"])  # as many rows as the weights sum to
     base = F.col("_period") * q
     rows = rows.select("doc_id", "source", "stream", "block", (base + F.col("at")).alias("slot"), (base + F.col("first")).alias("release"), (base + F.col("last")).alias("deadline"), "_in", "row_hash")
-    rows = rows.withColumn("_group", F.expr(f"slot div {GROUP}"))
+    # Written once: the counts of the groups and the ranks inside them both read it.
+    rows, _ = Scratch(spark).write(rows.withColumn("_group", F.expr(f"slot div {GROUP}")))
     sizes = rows.groupBy("_group").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
