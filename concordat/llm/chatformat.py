@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: The template, as role: (header, footer). Any other role is named in its header.
 TEMPLATE = {"system": ("<<SYS>>", "<</SYS>>\n"), "user": ("[INST] ", " [/INST]\n"), "assistant": ("<s>", "</s>\n")}
 OTHER = ("<|", "|>", "<|end|>\n")
@@ -101,6 +103,7 @@ def assemble(conv_ids: pa.Array, turns: pa.Array) -> pa.RecordBatch:
 
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, formatted, loss_spans): spans are byte offsets and lengths in the UTF-8 of ``formatted``."""
+    bound_batches(rows.sparkSession)
     turn = F.struct(F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     grouped = rows.select(F.col(conv_col).cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 

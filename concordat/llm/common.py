@@ -6,7 +6,18 @@ from pyspark.sql import SparkSession
 
 from ..storage import Scratch, shared_dir
 
-__all__ = ["Scratch", "partitions", "shared_dir"]
+__all__ = ["Scratch", "bound_batches", "partitions", "shared_dir"]
+
+#: Rows of an Arrow batch at most. Texts are long: the default of 10,000 rows holds tens of MB in the JVM's direct
+#: memory and in each Python worker, and both keep what they once took.
+BATCH_ROWS = 1000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch. Plans read it when they run, so it stays lowered."""
+    if not 0 < int(spark.conf.get(_BATCHES)) <= BATCH_ROWS:
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
 
 
 def partitions(spark: SparkSession, times: int = 1) -> int:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 DIMS = 512
 PIECE = 1 << 20
 UND = "und"
@@ -101,6 +103,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", per_language: int = 2000) -> dict[str, np.ndarray]:
     """Language to unit prototype, from rows whose ``label`` is not null."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), label.cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not sizes:
@@ -127,7 +130,8 @@ def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str =
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score), and ``row`` with the columns ``keep`` of the input if given."""
+    """(doc_id, lang_pred, score), and ``row`` with the columns ``keep`` of the input, the text among them, if given."""
+    bound_batches(docs.sparkSession)
     langs = list(prototypes)
     matrix = np.stack([prototypes[x] for x in langs]).astype(np.float32) if langs else np.zeros((1, DIMS), np.float32)
 
@@ -135,15 +139,16 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = bundle(part.column(1).to_pylist())
+                texts = part.column(1).field(text_col) if keep else part.column(1)
+                rows = bundle(texts.to_pylist())
                 cosine = np.round(_unit(rows) @ matrix.T, 6)
                 best = cosine.argmax(axis=1)
                 known = rows.any(axis=1) & bool(langs)
                 lang = [langs[b] if k else UND for b, k in zip(best, known, strict=True)]
                 score = np.where(known, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), *part.columns[2:]], ["doc_id", "lang_pred", "score", *part.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), *([part.column(1)] if keep else [])], ["doc_id", "lang_pred", "score", *(["row"] if keep else [])])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*keep).alias("row") if keep else F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, lang_pred string, score double" + (f", row {source.schema['row'].dataType.simpleString()}" if keep else "")
     return source.mapInArrow(run, schema)
 

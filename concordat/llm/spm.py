@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MARK = "▁"
-TABLE = 200_000
+TABLE = 100_000
 _CHUNK = re.compile(" +[^ ]*")
 
 
@@ -99,6 +101,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     """(doc_id, ids, decoded); with ``digests`` instead (doc_id, n_tokens, ids_sha256, decoded_sha256) of the same."""
     import hashlib
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_file)
         for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import bound_batches, partitions
 
 ANCHOR = 24
 BLOCK = 1 << 23
@@ -461,6 +461,7 @@ def _apply(length: int, digests: bool):
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans) and kept bytes with the removed runs, or with ``digests`` their SHA-256."""
     spark = docs.sparkSession
+    bound_batches(spark)
     plain = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(plain, F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), plain.isNull().alias("no_id")).withColumn("mark", F.xxhash64("text"))
     reports = rows.select("doc_id", "text").mapInArrow(_report(length, partitions(spark, 4)), "bucket int, kind int, data binary")
