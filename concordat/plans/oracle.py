@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .fixtures import BASE_TIME, states_sql
 from .queries import BLOOM_RATE, NOW
 
@@ -137,6 +139,15 @@ disk AS (SELECT drive_id, path, CASE WHEN corrupted THEN sha256(hash || '!') ELS
 checked AS (SELECT f.drive_id, f.path, coalesce(d.actual = f.hash, false) AS ok, f.corrupted OR NOT coalesce(d.actual = f.hash, false) AS corrupted FROM fs f LEFT JOIN disk d ON d.drive_id = f.drive_id AND d.path = f.path WHERE NOT f.tombstone)"""
 
 
+def _again() -> str:
+    """The plan over the states after the first plan: the same CTEs once more, each name with a 2."""
+    text = _ops(fs="fs2") + ",\n" + _PLAN
+    names = re.findall(r"(?:^|,\s*|\n)(\w+) AS \(SELECT|\n(fileops|ops|allops|res|ren0) AS", text)
+    own = sorted({n for pair in names for n in pair if n})
+    clock = ", ".join(f"coalesce(CAST(json_extract(version_vector, '$.drive_{x}') AS BIGINT), 0) AS {x}" for x in "abc")
+    return f"fs2 AS (SELECT *, {clock} FROM after),\n" + re.sub(rf"\b({'|'.join(own)})\b", r"\g<1>2", text)
+
+
 def _merkle() -> str:
     """One aggregation a level: the paths of the fixture are at most four segments deep."""
     out = """
@@ -194,6 +205,7 @@ same AS (SELECT x.path FROM nodes x JOIN nodes y USING (path) WHERE x.drive_id =
         "sync_plan": sel(_ops(), _PLAN, body="SELECT * FROM plan"),
         "plan_summary": sel(_ops(), _PLAN, body="SELECT p.type, count(*) AS n_ops, CAST(coalesce(sum(f.size) FILTER (p.type IN ('COPY', 'REPLACE')), 0) AS BIGINT) AS total_bytes FROM plan p LEFT JOIN fs f ON f.drive_id = p.source_drive AND f.path = p.path GROUP BY p.type"),
         "apply_plan": sel(_ops(), _APPLIED, body="SELECT * FROM after"),
+        "replan_after_apply": sel(_ops(), _APPLIED, _again(), body="SELECT type, count(*) AS n_ops FROM plan2 GROUP BY type"),
         "verify_files": sel(_DISK, body="SELECT * FROM checked"),
         "corrupt_count": sel(_DISK, body="SELECT drive_id, count(*) FILTER (NOT ok) AS n_corrupt FROM checked GROUP BY drive_id"),
         "restore_candidates": sel(_DISK, body="SELECT w.drive_id, w.path, (SELECT min(o.drive_id) FROM fs o JOIN disk d ON d.drive_id = o.drive_id AND d.path = o.path AND d.actual = o.hash WHERE o.path = w.path AND o.drive_id <> w.drive_id AND NOT o.tombstone AND o.hash = f.hash) AS replica FROM checked w JOIN fs f ON f.drive_id = w.drive_id AND f.path = w.path WHERE NOT w.ok"),

@@ -20,7 +20,7 @@ def views():
 
 
 def test_all_have_twins_but_a_few():
-    assert set(queries.queries()) - set(oracle.oracle_sql()) == {"chunk_documents", "chunk_diff", "replan_after_apply"}
+    assert set(queries.queries()) - set(oracle.oracle_sql()) == {"chunk_documents", "chunk_diff"}
 
 
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
