@@ -120,3 +120,30 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.collect() == []
+
+
+def test_pipeline_run_is_brute_force(spark, docs, corpus, tmp_path):
+    import sentencepiece
+
+    from .test_texts import plain_components, plain_fingerprint
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    rows = [(r[0], r[1]) for r in corpus if any(c.isalpha() for c in r[1] or "")]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(lower)
+    seen = Counter(k for _, text in rows for k in {key(line) for line in text.split("\n")} if k)
+    rows = [(d, "\n".join(line for line in text.split("\n") if seen[key(line)] < 10)) for d, text in rows]
+    comp = plain_components([plain_fingerprint(text, 5) for _, text in rows])
+    low = {}
+    for (d, _), c in zip(rows, comp, strict=True):
+        low[c] = min((x for x in (low.get(c), d) if x is not None), default=None)
+    stay = {d for (d, _), c in zip(rows, comp, strict=True) if d is not None and low[c] == d}
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.model_file())
+    want = []
+    for d, text in dict.fromkeys(rows):
+        if d is None or (d in stay and d != 10):
+            ids = sp.encode(text, add_bos=True, add_eos=True)
+            want.append((d, len(ids), ids, hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    assert sorted((tuple(r) for r in got if r["doc_id"] != 10), key=repr) == sorted(want, key=repr)
+    assert sum(r["doc_id"] == 10 for r in got) == (10 in stay)  # two texts share this id: one row of it stays
