@@ -15,8 +15,9 @@ from concordat.llm import langid, linededup, mixing, simhash, spm
 from concordat.llm.common import Scratch
 from concordat.llm.queries import BLOCK_DOCS, WEIGHTS, model_file
 
-#: Words of a shingle, and differing bits of 64 at which near copies still link (a fingerprint similarity of 0.94).
-NGRAM, MAX_DISTANCE = 5, 4
+#: Words of a shingle, differing bits of 64 at which fingerprints still link, and independent fingerprints of a text:
+#: near copies link if any of them do.
+NGRAM, MAX_DISTANCE, FINGERPRINTS = 5, 4, 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs, ngram=NGRAM, max_distance=MAX_DISTANCE)
+    groups = simhash.near_duplicates(docs, ngram=NGRAM, max_distance=MAX_DISTANCE, words=FINGERPRINTS)
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 

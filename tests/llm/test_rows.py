@@ -134,7 +134,7 @@ def test_pipeline_run_is_brute_force(spark, docs, corpus, tmp_path):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(lower)
     seen = Counter(k for _, text in rows for k in {key(line) for line in text.split("\n")} if k)
     rows = [(d, "\n".join(line for line in text.split("\n") if seen[key(line)] < 10)) for d, text in rows]
-    comp = plain_components([plain_fingerprint(text, 5) for _, text in rows])
+    comp = plain_components([tuple(plain_fingerprint(text, 5, word) for word in range(3)) for _, text in rows])
     low = {}
     for (d, _), c in zip(rows, comp, strict=True):
         low[c] = min((x for x in (low.get(c), d) if x is not None), default=None)

@@ -1,6 +1,7 @@
 """Text operators against brute force, over the edge-case corpus, the empty table and clashing columns."""
 
 import hashlib
+import random
 import re
 import unicodedata
 from collections import Counter
@@ -33,14 +34,27 @@ def duck(sql, **tables):
 # SimHash
 
 
-def plain_fingerprint(text, n=4):
+def plain_mixed(x, word):
+    """SplitMix64's output function of x + word increments."""
+    m = (1 << 64) - 1
+    if word:
+        x = x + 0x9E3779B97F4A7C15 * word & m
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        x ^= x >> 31
+    return x
+
+
+def plain_fingerprint(text, n=4, word=0):
     w = (text or "").encode().lower().split()
     shingles = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([b" ".join(w)] if w else [])
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    h = [plain_mixed(xxhash.xxh64_intdigest(s, 42), word) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def plain_components(fps, d=4):
+    """Classes of the fingerprints; a fingerprint may be a tuple of several, of which any may link."""
+    fps = [f if isinstance(f, tuple) else (f,) for f in fps]
     root = list(range(len(fps)))
 
     def find(x):
@@ -50,7 +64,7 @@ def plain_components(fps, d=4):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= d:
+            if any((a ^ b).bit_count() <= d for a, b in zip(fps[i], fps[j], strict=True)):
                 root[find(i)] = find(j)
     return [find(i) for i in range(len(fps))]
 
@@ -66,11 +80,33 @@ def test_simhash_is_brute_force(docs, crowded, corpus):
     assert rows_of(simhash.near_duplicates(crowded), "doc_id", "fingerprint", "component_id") == want
 
 
+def test_simhash_of_several_fingerprints_is_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(12):  # chains: each text has one more word changed than the one before
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        for j in range(7):
+            rows.append((100 * i + j, " ".join(w)))
+            w[rng.randrange(120)] = f"new{i}x{j}"
+    rows += [(3, rows[0][1]), (None, rows[20][1]), (None, None), (9000, ""), (9001, "one"), rows[5], rows[5]]
+    fps = [tuple(plain_fingerprint(text, 5, word) for word in range(3)) for _, text in rows]
+    comp = plain_components(fps)
+    low = {}
+    for (d, _), c in zip(rows, comp, strict=True):
+        low[c] = min((x for x in (low.get(c), d) if x is not None), default=None)
+    want = sorted(((d, f"{f[0]:016x}", low[c]) for (d, _), f, c in zip(rows, fps, comp, strict=True)), key=repr)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(simhash.near_duplicates(df, ngram=5, words=3), "doc_id", "fingerprint", "component_id") == want
+    assert len(set(comp)) < len(set(plain_components([f[0] for f in fps])))  # more links than one fingerprint finds
+    assert simhash.near_duplicates(df.limit(0), words=3).collect() == []
+
+
 def test_simhash_words_cross_blocks(monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     monkeypatch.setattr(simhash, "FLUSH", 3)
     text = "The quick  brown\tfox jumps\nover THE lazy dog and runs away again"
-    assert int(simhash.fingerprints_of([text.encode(), b"", b"two words"], 4)[0]) == plain_fingerprint(text)
+    got = simhash.fingerprints_of([text.encode(), b"", b"two words"], 4, 2).tolist()
+    assert got == [[plain_fingerprint(t, 4, word) for word in range(2)] for t in (text, "", "two words")]
 
 
 @pytest.mark.parametrize("crowd", [256, 2])
