@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: The polynomial of the fingerprint, sizes in bytes.
 POLYNOMIAL = 0xBFE6B8A5BF378D83
 MIN_SIZE, AVG_SIZE, MAX_SIZE, THRESHOLD = 16 * 1024, 64 * 1024, 256 * 1024, 1024 * 1024
+#: Blobs over LONG bytes are cut one at a time, at most a block of BLOCK bytes (or four of the longest chunks) in memory.
+LONG, BLOCK = 64 * 1024, 4 << 20
 
 
 def fingerprint_table() -> np.ndarray:
@@ -23,8 +26,96 @@ def fingerprint_table() -> np.ndarray:
     return value
 
 
-def cuts(blobs: list[bytes], least: int, mask: int, most: int) -> list[list[int]]:
-    """Ends of the chunks of each blob. All blobs advance together, one byte a step, so a step is one array operation."""
+def _apply(tables: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """A linear map of 64-bit states, given as what each value of each of their bytes becomes."""
+    parts = np.ascontiguousarray(states, "<u8").view(np.uint8).reshape(-1, 8)
+    out = tables[0][parts[:, 0]]
+    for i in range(1, 8):
+        out ^= tables[i][parts[:, i]]
+    return out
+
+
+@cache
+def _zeros(power: int) -> np.ndarray:
+    """The map that takes a state past 2**power zero bytes."""
+    if power:
+        half = _zeros(power - 1)
+        return _apply(half, half.ravel()).reshape(8, 256)
+    unit = np.arange(256, dtype=np.uint64) << (8 * np.arange(8, dtype=np.uint64))[:, None]
+    return (unit >> np.uint64(8)) ^ fingerprint_table()[unit.astype(np.uint8)]
+
+
+def _prefixes(data: np.ndarray) -> np.ndarray:
+    """The fingerprint after each byte, by lanes of about the square root of the bytes: each from zero, then joined."""
+    table, eight = fingerprint_table(), np.uint64(8)
+    power = max(0, (len(data) - 1).bit_length() // 2)
+    width = 1 << power
+    lanes = -(-len(data) // width)
+    columns = np.ascontiguousarray(np.pad(data, (0, lanes * width - len(data))).reshape(lanes, width).T)
+    out, fp = np.empty((width, lanes), np.uint64), np.zeros(lanes, np.uint64)
+    for j in range(width):
+        fp = (fp >> eight) ^ table[fp.astype(np.uint8) ^ columns[j]]
+        out[j] = fp
+    start, skip = np.zeros(lanes, np.uint64), _zeros(power)
+    for k in range(1, lanes):
+        start[k : k + 1] = _apply(skip, start[k - 1 : k]) ^ fp[k - 1]
+    for j in range(width):
+        start = (start >> eight) ^ table[start.astype(np.uint8)]
+        out[j] ^= start
+    return out.T.ravel()[: len(data)]
+
+
+def _first_cut(state: np.ndarray, at: int, least: int, mask: int, most: int) -> int | None:
+    """Length of the chunk that starts at ``at``, None if the data end before a cut.
+
+    The fingerprint is linear: that of a stretch is the prefix at its end, less the prefix at its start taken past
+    the stretch's length in zero bytes.
+    """
+    least, left = max(least, 1), min(most, len(state) - at)
+    past = state[at - 1 : at] if at else np.zeros(1, np.uint64)
+    for power in range(least.bit_length()):
+        if least >> power & 1:
+            past = _apply(_zeros(power), past)
+    ends, seen = state[at + least - 1 : at + left], 0
+    while seen < len(ends):
+        past = past[: len(ends)]
+        hits = np.flatnonzero(((ends[seen : len(past)] ^ past[seen:]) & np.uint64(mask)) == 0)
+        if len(hits):
+            return least + seen + int(hits[0])
+        seen = len(past)
+        if seen < len(ends):
+            past = np.concatenate((past, _apply(_zeros(seen.bit_length() - 1), past)))
+    return most if left == most else None
+
+
+def long_cuts(blob: bytes, least: int, mask: int, most: int, block: int = BLOCK) -> list[int]:
+    """Ends of the chunks of one long blob, a block at a time; a block starts where the last chunk ended."""
+    data, found, start = np.frombuffer(blob, np.uint8), [], 0
+    while start < len(data):
+        state = _prefixes(data[start : start + max(block, 4 * most)])
+        at, last = 0, start + len(state) == len(data)
+        while at < len(state) and (last or len(state) - at >= most):
+            at += _first_cut(state, at, least, mask, most) or len(state) - at
+            found.append(start + at)
+        start += at
+    return found
+
+
+def cuts(blobs: list[bytes], least: int, mask: int, most: int, long: int = LONG) -> list[list[int]]:
+    """Ends of the chunks of each blob. Short blobs advance together, one byte a step, so a step is one array operation."""
+    out: list[list[int]] = [[] for _ in blobs]
+    short = [i for i, b in enumerate(blobs) if len(b) <= long]
+    for i, ends in zip(short, _short_cuts([blobs[i] for i in short], least, mask, most), strict=True):
+        out[i] = ends
+    for i, blob in enumerate(blobs):
+        if len(blob) > long:
+            out[i] = long_cuts(blob, least, mask, most)
+    return out
+
+
+def _short_cuts(blobs: list[bytes], least: int, mask: int, most: int) -> list[list[int]]:
+    if not blobs:
+        return []
     table = fingerprint_table()
     by_size = sorted(range(len(blobs)), key=lambda i: -len(blobs[i]))
     sizes = np.array([len(blobs[i]) for i in by_size], np.int64)

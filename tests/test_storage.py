@@ -118,7 +118,11 @@ def plain_cuts(blob, least, mask, most):
 def test_chunks_are_sequential_cuts(spark):
     rng = random.Random(1)
     blobs = [rng.randbytes(n) for n in (0, 1, 63, 64, 65, 700, 5000, 20_000)] + [b"X" * 3000]
-    assert chunking.cuts(blobs, 64, 255, 1024) == [plain_cuts(b, 64, 255, 1024) for b in blobs]
+    blobs += [rng.randbytes(n) for n in (1024, 1025, 4096, 9001)]
+    for least, mask, most in ((64, 255, 1024), (1, 15, 64), (0, 255, 300), (300, 255, 300), (100, 1, 700)):
+        plain = [plain_cuts(b, least, mask, most) for b in blobs]
+        assert chunking.cuts(blobs, least, mask, most) == chunking.cuts(blobs, least, mask, most, long=0) == plain
+        assert [chunking.long_cuts(b, least, mask, most, block=most) for b in blobs] == plain
     df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blobs)] + [(99, None)], "n long, content binary")
     got = chunking.chunk(df, "n", F.col("content"), 256, 64, 1024, 600).collect()
     for i, b in enumerate([*blobs, b""]):
