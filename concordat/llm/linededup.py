@@ -7,7 +7,8 @@ runs they are merged into one run of the next level. Lines settled at the end ar
 
 A line's key is the line without ASCII white space at both ends and with A-Z lower-cased. Keys shorter than
 ``min_chars`` code points are never dropped. Null or empty text counts as one empty line. Each row is a document;
-repeated rows count each. A null id is kept. Other columns of the input travel in ``row`` and never clash.
+repeated rows count each, unless ``distinct_texts``: then rows of one text count once, so that copies of a document
+do not make its lines frequent. A null id is kept. Other columns of the input travel in ``row`` and never clash.
 An empty table gives an empty result.
 """
 
@@ -73,20 +74,23 @@ class LineRuns:
                 self.scratch.drop(path)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, distinct_texts: bool = False) -> DataFrame:
     """(row, doc_id, kept, n_lines, n_dropped): ``row`` has all input columns, ``kept`` the lines that stay."""
     spark = docs.sparkSession
     doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     runs = LineRuns(spark, min_docs, fanout)
-    batch = F.pmod(F.xxhash64(doc), F.lit(batches)).cast("int")
-    seen = docs.select(batch.alias("batch"), F.explode(F.array_distinct(line_keys(text, min_chars))).alias("k")).filter("k is not null")
+    mark = (doc.alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("wide"), text).alias("h2"))
+    counting = docs.select(*mark, F.array_distinct(line_keys(text, min_chars)).alias("keys"))
+    if distinct_texts:
+        counting = counting.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    seen = counting.select(batch.alias("batch"), F.explode("keys").alias("k")).filter("k is not null")
     counted, path = runs.scratch.write(seen.groupBy("batch", "k.a", "k.b").agg(F.count("*").alias("n")))
     for i in range(batches):
         runs.add(counted.filter(F.col("batch") == i).select("a", "b", "n"))
     runs.scratch.drop(path)
     frequent, _ = runs.scratch.write(runs.settled())
 
-    mark = (doc.alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("wide"), text).alias("h2"))
     lines = docs.select(*mark, F.posexplode(line_keys(text, min_chars)).alias("pos", "k")).filter("k is not null").select("doc_id", "h1", "h2", "pos", "k.a", "k.b")
     gone = lines.join(frequent, ["a", "b"]).groupBy("doc_id", "h1", "h2").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "gone")

@@ -1,8 +1,8 @@
 """Corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing to target weights, SentencePiece ids.
 
 Each stage takes the documents its predecessor kept. All but the last return the columns of ``documents``: language
-ID drops documents whose language cannot be told and corrects ``lang``; line dedup cuts frequent lines from the
-texts; near-dedup keeps the document with the smallest id of each group (rows without an id stay); mixing puts the
+ID drops documents whose language cannot be told and corrects ``lang``; line dedup cuts lines found in ten or more
+distinct texts (copies of a document count once, so that a group of copies keeps its text); near-dedup keeps the document with the smallest id of each group (rows without an id stay); mixing puts the
 rows in the order of the schedule. The last returns (doc_id, n_tokens, ids, decoded_sha256).
 """
 
@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(docs)
+    found = linededup.dedup_lines(docs, distinct_texts=True)
     new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
