@@ -1,9 +1,10 @@
-"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing to target weights, SentencePiece ids.
+"""Corpus pipeline: language ID, line dedup, near-dedup, mixing to target weights, SentencePiece ids.
 
 Each stage takes the documents its predecessor kept. All but the last return the columns of ``documents``: language
 ID drops documents whose language cannot be told and corrects ``lang``; line dedup cuts lines found in ten or more
-distinct texts (copies of a document count once, so that a group of copies keeps its text); near-dedup keeps the document with the smallest id of each group (rows without an id stay); mixing puts the
-rows in the order of the schedule. The last returns (doc_id, n_tokens, ids, decoded_sha256).
+distinct texts (copies of a document count once, so that a group of copies keeps its text); near-dedup keeps the
+document with the smallest id of each group (rows without an id stay); mixing puts the rows in the order of the
+schedule. The last returns (doc_id, n_tokens, ids, decoded_sha256).
 """
 
 from __future__ import annotations
@@ -11,13 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import langid, linededup, mixing, simhash, spm
+from concordat.llm import langid, linededup, minhash, mixing, spm
 from concordat.llm.common import Scratch
 from concordat.llm.queries import BLOCK_DOCS, WEIGHTS, model_file
 
-#: Words of a shingle, differing bits of 64 at which fingerprints still link, and independent fingerprints of a text:
-#: near copies link if any of them do.
-NGRAM, MAX_DISTANCE, FINGERPRINTS = 5, 4, 3
+#: Words of a shingle, and the Jaccard similarity of shingle sets from which texts link.
+NGRAM, SIMILARITY = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs, ngram=NGRAM, max_distance=MAX_DISTANCE, words=FINGERPRINTS)
+    groups = minhash.near_duplicates(docs, ngram=NGRAM, threshold=SIMILARITY)
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 

@@ -21,3 +21,36 @@ def test_groups_of_copies_keep_one_whole_document_each(spark):
     near = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, lines, "").collect()}
     assert {d: t for d, t in near.items() if d < 1000} == {100 * g: text for g, text in enumerate(texts)}
     assert sum(d >= 1000 for d in near) == 12 and not any("common" in t for t in near.values())
+
+
+def variants(rng, at):
+    """Near copies of random texts, on both sides of a similarity of 0.8, and a crowd that links only through its base."""
+    out = []
+    for cut in range(4, 30, 2):
+        base = [sentence(rng, 1) for _ in range(120)]
+        out += [" ".join(base), " ".join(base[:-cut] + [sentence(rng, 1) for _ in range(cut)])]
+    base = [sentence(rng, 1) for _ in range(120)]
+    out.append(" ".join(base))
+    for _ in range(30):
+        p = rng.randrange(0, 100)
+        out.append(" ".join([*base[:p], *(sentence(rng, 1) for _ in range(8)), *base[p + 8 :]]))
+    return [(at + i, text) for i, text in enumerate(out)]
+
+
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or ({" ".join(w)} if w else set())
+
+
+def test_near_dedup_links_at_a_jaccard_of_0_8(spark):
+    rows = [*variants(random.Random(4), 0), (900, "short text"), (901, "Short  TEXT"), (902, "short texts"), (903, ""), (904, " \n")]
+    low = {d: d for d, _ in rows}
+    sets = {d: shingles(text) for d, text in rows}
+    for a in sets:
+        for b in sets:
+            if b < a and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                ra, rb = low[a], low[b]
+                low = {d: min(ra, rb) if r in (ra, rb) else r for d, r in low.items()}
+    docs = spark.createDataFrame([(d, text, "en", "src0", 1) for d, text in rows], SCHEMA).repartition(5)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == sorted(set(low.values()))
