@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, mixing to target weights, SentencePiece ids.
 
 Each stage takes the documents its predecessor kept. All but the last return the columns of ``documents``: language
-ID drops documents whose language cannot be told and corrects ``lang``; line dedup cuts lines found in ten or more
+ID drops documents without a letter and corrects ``lang`` (if none is labelled it stays as it is); line dedup cuts lines found in ten or more
 distinct texts (copies of a document count once, so that a group of copies keeps its text); near-dedup keeps the
 document with the smallest id of each group (rows without an id stay); mixing puts the rows in the order of the
 schedule. The last returns (doc_id, n_tokens, ids, decoded_sha256).
@@ -22,6 +22,8 @@ NGRAM, SIMILARITY = 5, 0.8
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = langid.fit(docs, F.col("lang"))
+    if not prototypes:  # nothing is labelled: no language can be told, and only texts without a letter go
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     told = langid.predict(docs, prototypes, keep=docs.columns)
     kept = told.filter(F.col("lang_pred") != langid.UND)
     return kept.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])

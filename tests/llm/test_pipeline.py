@@ -54,3 +54,9 @@ def test_near_dedup_links_at_a_jaccard_of_0_8(spark):
     docs = spark.createDataFrame([(d, text, "en", "src0", 1) for d, text in rows], SCHEMA).repartition(5)
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == sorted(set(low.values()))
+
+
+def test_unlabelled_documents_stay(spark):
+    rows = [(1, "some words", None, "src0", 1), (2, "日本", None, None, 2), (3, " 12.\n", None, "src0", 4), (4, None, None, "src0", 0), (None, "x", None, "src0", 1)]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted((rows[i] for i in (0, 1, 4)), key=repr)
