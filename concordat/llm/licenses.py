@@ -7,6 +7,11 @@ number of words, lies between |B| t / (2 - t) and |B| (2 - t) / t: units outside
 before any bigram is made, and the others meet only templates whose bounds they satisfy. The templates are constants
 of the plan, so nothing is shuffled and a row stands alone.
 
+A notice inside a longer unit, or wrapped over lines, is found by windows over the words of the whole text: those
+that begin and end with a bigram of the template, within its size bounds. A text has such a window only if it holds
+|B| t / (2 - t) of the template's bigrams, so others are not searched. Where windows of several licences overlap the
+best stays. Windows add only licences that no unit matches, each as one more match.
+
 A null or empty text has no match. Null ids and repeated rows are kept. Ties go to the first licence in order.
 """
 
@@ -79,11 +84,47 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     # Each step binds its result to the next one's variable, so no bigrams are made twice.
     made = F.transform(F.transform(likely, lambda u: F.split(u, " ")), grams)
     matches = F.filter(F.transform(made, match), lambda m: m["score"] >= threshold)
+
+    def search(found: Column, i: int) -> Column:
+        (lo, hi), (name, own) = limits[i], known[i]
+        hits = F.filter(F.transform(found, lambda g, p: F.struct(p.alias("p"), g.alias("g"))), lambda h: F.array_contains(F.array(*[F.lit(g) for g in own]), h["g"]))
+
+        def ends(h: Column, a: Column, at: Column) -> Column:
+            def window(b: Column, n: Column) -> Column:
+                shared = F.size(F.array_distinct(F.transform(F.slice(h, at + 1, n + 1), lambda x: x["g"])))
+                size = b["p"] - a["p"] + 1
+                value = F.when(size.between(lo, hi), F.round(2.0 * shared / (size + len(own)), 6)).otherwise(F.lit(0.0))
+                return F.struct(value.alias("score"), F.lit(-i).alias("i"), F.lit(name).alias("license"), a["p"].alias("start"), b["p"].alias("end"))
+
+            return F.filter(F.transform(F.slice(h, at + 1, hi), window), lambda w: w["score"] >= threshold)
+
+        return F.flatten(F.flatten(F.transform(F.array(hits), lambda h: F.transform(h, lambda a, at: ends(h, a, at)))))
+
+    def windows(found: Column) -> Column:
+        """Windows of all templates over the bigrams ``found``, without those that overlap a better one of another licence."""
+        every = F.array(*[F.lit(g) for g in dict.fromkeys(g for _, own in known for g in own)])
+        kind = "array<struct<score:double,i:int,license:string,start:int,end:int>>"
+
+        def of(common: Column) -> Column:
+            enough = lambda i: F.size(F.array_intersect(common, F.array(*[F.lit(g) for g in known[i][1]]))) >= limits[i][0]
+            return F.flatten(F.array(*[F.when(enough(i), search(found, i).cast(kind)).otherwise(F.array().cast(kind)) for i in range(len(known))]))
+
+        def beaten(w: Column, o: Column) -> Column:
+            better = (o["score"] > w["score"]) | ((o["score"] == w["score"]) & (o["i"] > w["i"]))
+            return (o["license"] != w["license"]) & (o["start"] <= w["end"]) & (o["end"] >= w["start"]) & better
+
+        best = lambda ws: F.filter(ws, lambda w: ~F.exists(ws, lambda o: beaten(w, o)))
+        return F.flatten(F.transform(F.transform(F.array(F.array_intersect(found, every)), of), best))
+
+    inside = F.flatten(F.transform(F.transform(F.array(F.split(one_line(F.col("folded")), " ")), lambda w: F.when(F.size(w) > 1, grams(w)).otherwise(F.array().cast("array<string>"))), windows))
+    other = F.filter("w", lambda w: ~F.array_contains(F.col("m.license"), w["license"]))
+    added = F.transform(other, lambda w: F.struct(w["score"].alias("score"), w["i"].alias("i"), w["license"].alias("license")))
     return (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), folded.alias("folded"))
-        .select("doc_id", units.alias("units"))
-        .select("doc_id", F.size("units").cast("long").alias("n_units"), matches.alias("m"))
-        .select("doc_id", "n_units", F.size("m").cast("long").alias("n_matches"), F.array_max("m")["license"].alias("license"), F.array_max("m")["score"].alias("score"), F.array_join(F.array_sort(F.array_distinct(F.col("m.license"))), ",").alias("licenses"))
+        .select("doc_id", units.alias("units"), inside.alias("w"))
+        .select("doc_id", F.size("units").cast("long").alias("n_units"), matches.alias("m"), "w")
+        .select("doc_id", "n_units", F.size("m").alias("whole"), F.col("m.license").alias("own"), F.concat("m", added).alias("m"))
+        .select("doc_id", "n_units", (F.col("whole") + F.size(F.array_except(F.col("m.license"), "own"))).cast("long").alias("n_matches"), F.array_max("m")["license"].alias("license"), F.array_max("m")["score"].alias("score"), F.array_join(F.array_sort(F.array_distinct(F.col("m.license"))), ",").alias("licenses"))
     )
 
 
