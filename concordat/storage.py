@@ -8,17 +8,20 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``; a local one if that is unset and so is Spark."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="concordat-")
     spark.sparkContext.setCheckpointDir(f"file://{local}")
     atexit.register(shutil.rmtree, local, ignore_errors=True)
@@ -40,6 +43,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def measured(self, df: DataFrame, *what: Column) -> tuple[DataFrame, str, dict]:
+        """``write``, and the aggregates ``what`` with the number of rows, ``n``, taken on the way."""
+        seen, what = Observation(), (F.count(F.lit(1)).alias("n"), *what)
+        held, path = self.write(df.observe(seen, *what))
+        found = seen.get  # empty if the plan turned out to be an empty relation
+        return held, path, found if "n" in found else held.agg(*what).first().asDict()
+
     def drop(self, path: str) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
