@@ -8,33 +8,29 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def _written(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, str, tuple]:
+    """The edges, their path, and (count, checksum)."""
+    held, path, seen = scratch.measured(edges, F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+    return held, path, (seen["n"], seen["s"])
 
 
-def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFrame:
+def connected(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the smallest node reachable.
 
     Each round relinks neighbours to the smallest one they know, so depths shrink at least by half; the edge list
-    never grows. A round is written to the shared folder, which cuts the lineage; its predecessor is deleted.
+    never grows. A round is written to the shared folder, which cuts the lineage; its predecessor is deleted. Rounds
+    go on until one changes nothing.
     """
-    edges, last = scratch.write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(edges)
-    for _ in range(rounds):
-        if not state[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges, last, state = _written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), scratch)
+    while state[0]:
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
-        edges, path = scratch.write(small)
+        edges, path, now = _written(small, scratch)
         scratch.drop(last)
-        last, now = path, _state(edges)
         if now == state:
             break
-        state = now
-    else:
-        raise RuntimeError("components did not settle")
+        last, state = path, now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

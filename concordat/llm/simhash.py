@@ -10,11 +10,6 @@ Fingerprints that fall into a crowded table bucket (over ``crowd`` members) take
 fingerprints are within 2h bits if and only if some 64-bit value is within h bits of both, so each enumerates the
 ball of h bits around itself, all that share a value are linked to the smallest of them, and no pair is emitted.
 
-More recall: one fingerprint of 64 bits within 4 bits finds near copies of a shingle Jaccard of about 0.95 and more,
-and wider balls do not scale. With ``words`` over 1 a text has as many independent fingerprints (of its shingle hashes
-mixed once more), each with its own exact search, and texts link if any of them do. The components of the searches
-are merged one after another, so the groups are those of all links together.
-
 Nulls and ties: a null or blank text has fingerprint 0 and links like any other; rows with a null id are
 fingerprinted, and a component's id is the smallest non-null id in it (null if there is none); repeated rows are
 kept; an empty table gives an empty result. Other columns of the input are ignored.
@@ -24,12 +19,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches
@@ -38,7 +34,6 @@ from .components import connected
 BLOCK = 1 << 22
 FLUSH = 200_000
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
-_MASK = (1 << 64) - 1
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -74,18 +69,6 @@ def shingle_hashes(text: bytes, ngram: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(carry), 42)], np.uint64)
 
 
-def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """The hashes of fingerprint ``word``: unchanged for 0, else an independent 64-bit hash of each."""
-    if not word:
-        return hashes
-    # The increment and the multipliers of the SplitMix64 generator.
-    step, first, second = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-    x = hashes + np.uint64(step * word & _MASK)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(first)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(second)
-    return x ^ (x >> np.uint64(31))
-
-
 def _set_bits(hashes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """How often each bit is set, by document."""
     out = np.zeros((docs, 64), np.int64)
@@ -95,10 +78,10 @@ def _set_bits(hashes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: list[bytes], ngram: int, words: int = 1) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of the texts, ``words`` a text."""
+def fingerprints_of(texts: list[bytes], ngram: int) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of the texts."""
     n = len(texts)
-    ones, total = np.zeros((n, words, 64), np.int64), np.zeros(n, np.int64)
+    ones, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
     held: list[np.ndarray] = []
     owner: list[int] = []
     size = 0
@@ -110,8 +93,7 @@ def fingerprints_of(texts: list[bytes], ngram: int, words: int = 1) -> np.ndarra
             doc = np.repeat(np.array(owner) - first, [len(h) for h in held])
             span = owner[-1] - first + 1
             hashes = np.concatenate(held)
-            for word in range(words):
-                ones[first : first + span, word] += _set_bits(mixed(hashes, word), doc, span)
+            ones[first : first + span] += _set_bits(hashes, doc, span)
             total[first : first + span] += np.bincount(doc, minlength=span)
         held.clear()
         owner.clear()
@@ -125,114 +107,115 @@ def fingerprints_of(texts: list[bytes], ngram: int, words: int = 1) -> np.ndarra
             if size >= FLUSH or i - owner[0] >= 500:
                 flush()
     flush()
-    bits = (2 * ones > total[:, None, None]).astype(np.uint8)
-    return np.packbits(bits, axis=2, bitorder="little").view(np.uint64).reshape(n, words)
-
-
-def word_names(words: int) -> list[str]:
-    """The columns of a text's fingerprints: fp, fp1, fp2 and so on."""
-    return ["fp", *(f"fp{i}" for i in range(1, words))]
+    bits = (2 * ones > total[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(n)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, words: int = 1) -> DataFrame:
-    """(doc_id, fp, ...): the fingerprints of every text as signed longs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every text as a signed long."""
     bound_batches(docs.sparkSession)
-    names = word_names(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [b"" if t is None else t for t in part.column(1).cast(pa.binary()).to_pylist()]
-                found = fingerprints_of(texts, ngram, words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[:, i]) for i in range(words))], ["doc_id", *names])
+            texts = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints_of(texts, ngram).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{name} long" for name in ["doc_id", *names]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def segments_for(max_distance: int, count: int = 3) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each segment: radii sum to max_distance + 1 - count, wider balls get wider segments."""
-    spare = max(0, max_distance + 1 - count)
-    radii = [spare // count + (i < spare % count) for i in range(count)]
-    cut = [64 * i // count for i in range(count + 1)]
-    out = [(cut[i], cut[i + 1] - cut[i], radii[i]) for i in range(count)]
-    return out
-
+def keys_for(max_distance: int, wide: bool = False) -> list[tuple[list[int], int]]:
+    """(bits, radius) of each key: two fingerprints within max_distance agree on some key up to its radius of bits.
 
-def ball(width: int, radius: int) -> list[int]:
-    """All masks of at most ``radius`` set bits among ``width``, 0 first."""
-    return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
+    Narrow: three segments of 21 or 22 bits whose radii sum to max_distance - 2, so that sum(radius + 1) > max_distance.
+    Wide, for max_distance 4: pairs of four blocks of 16 bits. The two blocks that differ least differ in at most one
+    bit together, unless each of the four differs in just one: then the first pair, of radius 2, has both.
+    """
+    if wide:
+        if max_distance > 4:
+            raise ValueError("wide keys reach a distance of 4")
+        blocks = [list(range(16 * i, 16 * i + 16)) for i in range(4)]
+        return [(a + b, 2 if i == 0 else 1) for i, (a, b) in enumerate(combinations(blocks, 2))]
+    spare = max(0, max_distance - 2)
+    cut = [64 * i // 3 for i in range(4)]
+    return [(list(range(cut[i], cut[i + 1])), spare // 3 + (i < spare % 3)) for i in range(3)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _segment(fp: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
+def ball(value: Column, bits: list[int], radius: int) -> Column:
+    """Array of ``value`` and all that differ from it in at most ``radius`` of ``bits``, built without a literal a mask."""
+    if radius == 0:
+        return F.array(value)
+    places, one = F.array(*[F.lit(b) for b in bits]), F.lit(1).cast("long")
+
+    def flips(depth: int, first: Column, mask: Column) -> Column:
+        """Values with up to ``depth`` more flips at or after place ``first``; a place met twice counts once."""
+        step = lambda i: mask.bitwiseOR(F.call_function("shiftleft", one, F.element_at(places, i)))
+        inner = lambda i: value.bitwiseXOR(step(i)) if depth == 1 else flips(depth - 1, i, step(i))
+        found = F.transform(F.sequence(first, F.lit(len(bits))), inner)
+        return found if depth == 1 else F.flatten(found)
+
+    found = F.concat(F.array(value), flips(radius, F.lit(1), F.lit(0).cast("long")))
+    return F.array_distinct(found) if radius > 2 else found
 
 
 def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, max_distance: int = 4, segment_count: int = 3, crowd: int = 256) -> DataFrame:
+def _named(seg: Column, val: Column) -> Column:
+    return F.struct(seg.alias("seg"), val.alias("val"))
+
+
+def _keyed(fps: DataFrame, name: str, keys: list[tuple[list[int], int]], probing: bool) -> DataFrame:
+    """(name, seg, val): the keys of each fingerprint, or with ``probing`` those of the balls around them."""
+    fp, parts = F.col("fp"), []
+    for seg, (bits, radius) in enumerate(keys):
+        mask = F.lit(_signed(sum(1 << b for b in bits))).cast("long")
+        at = fp.bitwiseAND(mask)
+        found = ball(at, bits, radius) if probing else F.array(at)
+        parts.append(F.transform(found, partial(_named, F.lit(seg).cast("tinyint"))))
+    return fps.select(fp.alias(name), F.explode(F.concat(*parts)).alias("s")).select(name, "s.seg", "s.val")
+
+
+def links(fps: DataFrame, scratch: Scratch, max_distance: int = 4, crowd: int = 256, wide: bool | None = None) -> DataFrame:
     """(u, v) edges whose connected components are those of all pairs of the distinct ``fp`` within max_distance.
 
-    Every pair within max_distance is either an edge or joined through an exact star of a crowded bucket.
+    Every pair within max_distance is either an edge or joined through an exact star of a crowded bucket. Keys are
+    wide from 2**21 * crowd / 8 fingerprints on, so that an average bucket never is crowded; both kinds are exact.
     """
-    segments = list(enumerate(segments_for(max_distance, segment_count)))
-    fp = F.col("fp")
-
-    def keyed(name: str, masks) -> DataFrame:
-        keys = [F.struct(F.lit(i).cast("tinyint").alias("seg"), _segment(fp, s, w).bitwiseXOR(F.lit(m).cast("long")).alias("val")) for i, (s, w, r) in segments for m in masks(w, r)]
-        return fps.select(fp.alias(name), F.explode(F.array(*keys)).alias("s")).select(name, "s.seg", "s.val")
-
-    table, probe = keyed("fp", lambda w, r: [0]), keyed("q", ball)
-    crowded = table.groupBy("seg", "val").count().filter(F.col("count") > crowd).select("seg", "val")
-    size = table.groupBy("seg", "val").agg(F.count("*").alias("n"))
-    calm = table.join(size.filter(F.col("n") <= crowd), ["seg", "val"]).select("fp", "seg", "val")
-    pairs = (
-        probe.join(calm, ["seg", "val"])
-        .filter((F.col("q") < fp) & (_distance(F.col("q"), fp) <= max_distance))
-        .select(F.col("q").alias("u"), fp.alias("v"))
-    )
-    inside = probe.join(crowded, ["seg", "val"]).select(F.col("q").alias("fp")).distinct()
-    half, odd = divmod(max_distance, 2)
-    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in ball(64, half)])
-    middle = inside.select("fp", F.explode(F.transform(masks, lambda m: fp.bitwiseXOR(m))).alias("mid"))
-    if odd:  # within 2h + 1 bits: the balls of h bits around one side and h + 1 around the other meet
+    if max_distance % 2:  # within 2h + 1 bits: the balls of h bits around one side and h + 1 around the other meet
         raise ValueError("max_distance must be even")
+    fp, key = F.col("fp"), ["seg", "val"]
+    if wide is None:
+        wide = max_distance <= 4 and fps.count() > (1 << 18) * crowd
+    keys = keys_for(max_distance, wide)
+    table, probe = _keyed(fps, "fp", keys, False), _keyed(fps, "q", keys, True)
+    crowded, _, seen = scratch.measured(table.groupBy(key).count().filter(F.col("count") > crowd).select(key))
+    some = seen["n"] > 0
+    calm = table.join(crowded, key, "left_anti") if some else table
+    near = (F.col("q") < fp) & (_distance(F.col("q"), fp) <= max_distance)
+    pairs = probe.join(calm, key).filter(near).select(F.col("q").alias("u"), fp.alias("v"))
+    if not some:
+        return pairs
+    inside = probe.join(crowded, key, "left_semi").select(F.col("q").alias("fp")).distinct()
+    middle, _ = scratch.write(inside.select("fp", F.explode(ball(fp, list(range(64)), max_distance // 2)).alias("mid")))
     low = middle.groupBy("mid").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("mid", "v")
     stars = middle.join(low, "mid").filter(fp != F.col("v")).select(fp.alias("u"), "v")
     return pairs.unionByName(stars)
 
 
-def merged(classes: DataFrame, name: str, max_distance: int, scratch: Scratch) -> DataFrame:
-    """``classes`` (with a column ``root``) after the links of fingerprint ``name`` have joined their roots."""
-    spark = scratch.spark
-    linked = connected(spark, links(classes.select(F.col(name).alias("fp")).distinct(), max_distance), scratch)
-    grouped = classes.join(linked.select(F.col("node").alias(name), F.col("root").alias("other")), name, "left")
-    grouped, _ = scratch.write(grouped.withColumn("other", F.coalesce("other", name)))
-    lowest = grouped.groupBy("other").agg(F.min("root").alias("low_root"))
-    edges = grouped.join(lowest, "other").filter("root <> low_root").select(F.col("root").alias("u"), F.col("low_root").alias("v"))
-    joined = connected(spark, edges, scratch).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-    return scratch.write(grouped.join(joined, "root", "left").withColumn("root", F.coalesce("new_root", "root")).select(*classes.columns))[0]
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, max_distance: int = 4, words: int = 1) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) of every row: the whole job of near-duplicate detection.
-
-    Texts link if any of their ``words`` fingerprints are within ``max_distance`` bits; ``fp`` is the first of them.
-    """
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, max_distance: int = 4) -> DataFrame:
+    """(doc_id, fp, fingerprint, component_id) of every row: the whole job of near-duplicate detection."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    names = word_names(words)
-    fps, _ = scratch.write(fingerprints(docs, id_col, text_col, ngram, words))
-    distinct = fps.groupBy(*names).agg(F.min("doc_id").alias("low"))
-    linked = connected(spark, links(distinct.select("fp").distinct(), max_distance), scratch)
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    for name in names[1:]:
-        rooted = merged(rooted, name, max_distance, scratch)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select(*names, "component_id")
-    return fps.join(named, names).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, _ = scratch.write(fingerprints(docs, id_col, text_col, ngram))
+    distinct, _ = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    linked = connected(spark, links(distinct.select("fp"), scratch, max_distance), scratch).withColumnRenamed("node", "fp")
+    named = linked.join(distinct, "fp")
+    named = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
+    # A fingerprint without links is a group of its own, and only such ones have no row in ``named``.
+    groups = distinct.join(named, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
+    return fps.join(groups, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from concordat.llm import fingerprints, langid, licenses, linededup, mixing, queries, simhash, spm, suffixdedup
+from concordat.llm.common import Scratch
 
 from .conftest import CLASHING, rows_of
 
@@ -34,27 +36,15 @@ def duck(sql, **tables):
 # SimHash
 
 
-def plain_mixed(x, word):
-    """SplitMix64's output function of x + word increments."""
-    m = (1 << 64) - 1
-    if word:
-        x = x + 0x9E3779B97F4A7C15 * word & m
-        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
-        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
-        x ^= x >> 31
-    return x
-
-
-def plain_fingerprint(text, n=4, word=0):
+def plain_fingerprint(text, n=4):
     w = (text or "").encode().lower().split()
     shingles = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([b" ".join(w)] if w else [])
-    h = [plain_mixed(xxhash.xxh64_intdigest(s, 42), word) for s in shingles]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def plain_components(fps, d=4):
-    """Classes of the fingerprints; a fingerprint may be a tuple of several, of which any may link."""
-    fps = [f if isinstance(f, tuple) else (f,) for f in fps]
+    """Classes of the fingerprints."""
     root = list(range(len(fps)))
 
     def find(x):
@@ -64,7 +54,7 @@ def plain_components(fps, d=4):
 
     for i in range(len(fps)):
         for j in range(i):
-            if any((a ^ b).bit_count() <= d for a, b in zip(fps[i], fps[j], strict=True)):
+            if (fps[i] ^ fps[j]).bit_count() <= d:
                 root[find(i)] = find(j)
     return [find(i) for i in range(len(fps))]
 
@@ -80,42 +70,21 @@ def test_simhash_is_brute_force(docs, crowded, corpus):
     assert rows_of(simhash.near_duplicates(crowded), "doc_id", "fingerprint", "component_id") == want
 
 
-def test_simhash_of_several_fingerprints_is_brute_force(spark):
-    rng = random.Random(11)
-    rows = []
-    for i in range(12):  # chains: each text has one more word changed than the one before
-        w = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
-        for j in range(7):
-            rows.append((100 * i + j, " ".join(w)))
-            w[rng.randrange(120)] = f"new{i}x{j}"
-    rows += [(3, rows[0][1]), (None, rows[20][1]), (None, None), (9000, ""), (9001, "one"), rows[5], rows[5]]
-    fps = [tuple(plain_fingerprint(text, 5, word) for word in range(3)) for _, text in rows]
-    comp = plain_components(fps)
-    low = {}
-    for (d, _), c in zip(rows, comp, strict=True):
-        low[c] = min((x for x in (low.get(c), d) if x is not None), default=None)
-    want = sorted(((d, f"{f[0]:016x}", low[c]) for (d, _), f, c in zip(rows, fps, comp, strict=True)), key=repr)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert rows_of(simhash.near_duplicates(df, ngram=5, words=3), "doc_id", "fingerprint", "component_id") == want
-    assert len(set(comp)) < len(set(plain_components([f[0] for f in fps])))  # more links than one fingerprint finds
-    assert simhash.near_duplicates(df.limit(0), words=3).collect() == []
-
-
 def test_simhash_words_cross_blocks(monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     monkeypatch.setattr(simhash, "FLUSH", 3)
     text = "The quick  brown\tfox jumps\nover THE lazy dog and runs away again"
-    got = simhash.fingerprints_of([text.encode(), b"", b"two words"], 4, 2).tolist()
-    assert got == [[plain_fingerprint(t, 4, word) for word in range(2)] for t in (text, "", "two words")]
+    got = simhash.fingerprints_of([text.encode(), b"", b"two words"], 4).tolist()
+    assert got == [plain_fingerprint(t) for t in (text, "", "two words")]
 
 
-@pytest.mark.parametrize("crowd", [256, 2])
-def test_simhash_links_in_crowded_buckets(spark, crowd):
+@pytest.mark.parametrize("crowd,wide", [(256, False), (2, False), (256, True), (2, True)])
+def test_simhash_links_in_crowded_buckets(spark, crowd, wide):
     rng = np.random.default_rng(3)
     centre = [int(x) for x in rng.integers(0, 1 << 63, 6)]
     fps = sorted({c ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 5))) for c in centre for _ in range(25)} | {0, (1 << 64) - 1})
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    edges = [(u % (1 << 64), v % (1 << 64)) for u, v in simhash.links(df, crowd=crowd).collect()]
+    edges = [(u % (1 << 64), v % (1 << 64)) for u, v in simhash.links(df, Scratch(spark), crowd=crowd, wide=wide).collect()]
     comp = dict(zip(fps, plain_components(fps), strict=True))
     root = {f: f for f in fps}
 
@@ -130,10 +99,24 @@ def test_simhash_links_in_crowded_buckets(spark, crowd):
     assert len({find(f) for f in fps}) == len(set(comp.values()))
 
 
-def test_pigeonhole_of_segments():
+def test_pigeonhole_of_keys():
+    rng = random.Random(2)
     for d in range(0, 9):
-        segments = simhash.segments_for(d)
-        assert sum(r + 1 for _, _, r in segments) > d and sum(w for _, w, _ in segments) == 64
+        for keys in (simhash.keys_for(d), simhash.keys_for(4, wide=True)):
+            most = d if len(keys) == 3 else 4
+            for _ in range(400):
+                flipped = set(rng.sample(range(64), rng.randint(0, most)))
+                assert any(len(flipped & set(bits)) <= radius for bits, radius in keys)
+    for a in range(16):  # one bit in each block: only the key of radius 2 has it
+        flipped = {a, 16 + a, 32 + a, 48 + a}
+        assert any(len(flipped & set(bits)) <= radius for bits, radius in simhash.keys_for(4, wide=True))
+
+
+def test_balls(spark):
+    for bits, radius in (([3], 1), (list(range(64)), 1), ([0, 5, 63], 2), (list(range(0, 64, 7)), 3), ([1, 2], 0)):
+        got = spark.range(1).select(simhash.ball(F.lit(-12345), bits, radius).alias("b")).first()["b"]
+        flips = [sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(bits, k)]
+        assert sorted(x % (1 << 64) for x in got) == sorted(-12345 % (1 << 64) ^ m for m in flips)
 
 
 # Line dedup
