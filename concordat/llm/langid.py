@@ -6,7 +6,7 @@ prototype is the sum of the unit vectors of its labelled documents, and a text t
 has the greatest cosine with its vector. Letters are lower-cased, any run of other characters is one blank.
 
 Fitting reads a bounded sample: about ``per_language`` labelled texts of each language, whole texts, taken by a hash
-of the id. Predictions see the text alone. A null text, one without a letter, or an unfitted profile gives ``und``
+of the id; over ``LABELS`` different labels are an error. Predictions see the text alone. A null text, one without a letter, or an unfitted profile gives ``und``
 and score 0. Ties go to the language first in order. Null ids and repeated rows are kept.
 """
 
@@ -24,6 +24,8 @@ from .common import bound_batches
 
 DIMS = 512
 PIECE = 1 << 20
+#: Labels that a fit accepts; ISO 639-3 has under 8,000 languages. More would not be languages, and are refused.
+LABELS = 10_000
 UND = "und"
 _HALF = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,7 +107,9 @@ def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str =
     """Language to unit prototype, from rows whose ``label`` is not null."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), label.cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LABELS + 1).collect()}
+    if len(sizes) > LABELS:
+        raise ValueError(f"over {LABELS} labels")
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
@@ -123,9 +127,8 @@ def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.tolist() for s in sums.values()])], ["lang", "sums"])
 
     parts = sample.mapInArrow(run, "lang string, sums array<double>").select("lang", F.posexplode("sums").alias("i", "x"))
-    found: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).collect():  # DIMS rows a language
-        found.setdefault(r["lang"], np.zeros(DIMS))[r["i"]] = r["x"]
+    whole = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    found = {r["lang"]: np.array(r["x"]) for r in whole.select("lang", F.col("v.x").alias("x")).collect()}  # one row a label
     return {lang: _unit(found[lang][None])[0] for lang in sorted(found)}
 
 

@@ -8,7 +8,8 @@ runs they are merged into one run of the next level. Lines settled at the end ar
 A line's key is the line without ASCII white space at both ends and with A-Z lower-cased. Keys shorter than
 ``min_chars`` code points are never dropped. Null or empty text counts as one empty line. Each row is a document;
 repeated rows count each, unless ``distinct_texts``: then rows of one text count once, so that copies of a document
-do not make its lines frequent. A null id is kept. Other columns of the input travel in ``row`` and never clash.
+do not make its lines frequent. With ``keep_first`` a dropped line stays in one text, the one of the smallest id that
+holds it (null ids last), and in that text's copies, so that no line vanishes from the corpus. A null id is kept. Other columns of the input travel in ``row`` and never clash.
 An empty table gives an empty result.
 """
 
@@ -74,7 +75,7 @@ class LineRuns:
                 self.scratch.drop(path)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, distinct_texts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, distinct_texts: bool = False, keep_first: bool = False) -> DataFrame:
     """(row, doc_id, kept, n_lines, n_dropped): ``row`` has all input columns, ``kept`` the lines that stay."""
     spark = docs.sparkSession
     doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
@@ -84,15 +85,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if distinct_texts:
         counting = counting.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    seen = counting.select(batch.alias("batch"), F.explode("keys").alias("k")).filter("k is not null")
-    counted, path = runs.scratch.write(seen.groupBy("batch", "k.a", "k.b").agg(F.count("*").alias("n")))
+    seen = counting.select(batch.alias("batch"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h1", "h2").alias("at"), F.explode("keys").alias("k")).filter("k is not null")
+    first = [F.min("at").alias("first")] if keep_first else []
+    counted, path = runs.scratch.write(seen.groupBy("batch", "k.a", "k.b").agg(F.count("*").alias("n"), *first))
     for i in range(batches):
         runs.add(counted.filter(F.col("batch") == i).select("a", "b", "n"))
-    runs.scratch.drop(path)
     frequent, _ = runs.scratch.write(runs.settled())
+    if keep_first:
+        held = counted.join(frequent, ["a", "b"]).groupBy("a", "b").agg(F.min("first").alias("f"))
+        frequent, _ = runs.scratch.write(held.select("a", "b", F.col("f.h1").alias("f1"), F.col("f.h2").alias("f2")))
+    runs.scratch.drop(path)
 
     lines = docs.select(*mark, F.posexplode(line_keys(text, min_chars)).alias("pos", "k")).filter("k is not null").select("doc_id", "h1", "h2", "pos", "k.a", "k.b")
-    gone = lines.join(frequent, ["a", "b"]).groupBy("doc_id", "h1", "h2").agg(F.collect_set("pos").alias("gone"))
+    lost = lines.join(frequent, ["a", "b"])
+    lost = lost.filter("h1 <> f1 or h2 <> f2") if keep_first else lost
+    gone = lost.groupBy("doc_id", "h1", "h2").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), "gone")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *mark, text.alias("text"))
     found = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")

@@ -1,9 +1,10 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands give candidates, exact sets decide.
+"""Near-duplicates by Jaccard similarity of word shingles: two searches give candidates, exact sets decide.
 
-Texts with the same set of shingle hashes (XXH64, as in SimHash) are one class. A class has BANDS x ROWS minimal
-hashes; classes with the same ROWS values in a band are candidates, found with probability 1 - (1 - J^ROWS)^BANDS:
-99.93 % at a Jaccard of 0.8, 99.999 % at 0.85. A candidate links only if the Jaccard of the whole sets, not an
-estimate, reaches the threshold.
+Texts with the same set of shingle hashes (XXH64, as in SimHash) are one class. Candidates are the links of the
+classes' SimHash fingerprints by multi-index hashing, at up to four differing bits, and, since such links reach no
+lower than a Jaccard of about 0.95, classes that share a band of minimal hashes: a class has BANDS x ROWS of them, and
+two meet with probability 1 - (1 - J^ROWS)^BANDS, 99.93 % at a Jaccard of 0.8, 99.999 % at 0.85. A candidate links
+only if the Jaccard of the whole sets, not an estimate, reaches the threshold.
 
 Crowded buckets (over ``crowd`` classes): first each class meets the ``centres`` smallest ones of the bucket, linear
 in its size. Then only classes that are still in different components meet, all of them: pairs inside one component
@@ -21,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches
 from .components import connected
-from .simhash import shingle_hashes
+from .simhash import fingerprint_of_hashes, links, shingle_hashes
 
 BANDS, ROWS = 24, 6
 CROWD, CENTRES = 16, 4
@@ -35,10 +36,14 @@ _SLICE = 2048
 _FACTORS = np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def all_hashes(text: bytes, ngram: int) -> np.ndarray:
+    found = list(shingle_hashes(text, ngram))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def shingle_set(text: bytes, ngram: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    found = list(shingle_hashes(text, ngram))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return np.unique(all_hashes(text, ngram))
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -65,14 +70,20 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, ngram: int) -> DataFrame:
-    """(doc_id, h1, h2, cls, n, bands) of rows (doc_id, h1, h2, text)."""
+    """(doc_id, h1, h2, cls, n, fp, bands) of rows (doc_id, h1, h2, text)."""
+    schema = "doc_id long, h1 long, h2 long, cls long, n long, fp long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, ngram) for t in _bytes(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "cls", "n", "bands"])
+            made = []
+            for text in _bytes(batch.column(3)):
+                hashes = all_hashes(text, ngram)
+                held = np.unique(hashes)
+                made.append((class_of(held), len(held), fingerprint_of_hashes(hashes), bands_of(held)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(list(c), k) for c, k in zip(zip(*made, strict=True), kinds, strict=True))], [c.split()[0] for c in schema.split(", ")])
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, cls long, n long, bands array<long>")
+    return docs.mapInArrow(run, schema)
 
 
 def _sets(texts: DataFrame, ngram: int) -> DataFrame:
@@ -100,25 +111,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def fingerprint_pairs(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v), u < v: classes whose fingerprints link, through the smallest class of each fingerprint."""
+    low, _ = scratch.write(classes.groupBy("fp").agg(F.min("cls").alias("low")))
+    same = classes.join(low, "fp").select(F.col("low").alias("a"), F.col("cls").alias("b"))
+    u, v = (low.select(F.col("fp").alias(c), F.col("low").alias(n)) for c, n in (("u", "a"), ("v", "b")))
+    linked = links(low.select("fp"), scratch).join(u, "u").join(v, "v").select("a", "b")
+    return same.unionByName(linked).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
 def _near(a, b, threshold: float):
     """Sizes that can reach the threshold."""
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - F.lit(1e-9)
 
 
+def text_hashes(text: Column) -> list[Column]:
+    """h1 and h2, 128 bits that stand for a text."""
+    text = text.cast("string")
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("wide"), text).alias("h2")]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, threshold: float = 0.8, crowd: int = CROWD, centres: int = CENTRES) -> DataFrame:
     """(doc_id, h1, h2, root, component_id) of every row: hashes of its text, its group and the group's smallest id."""
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark)
     text = F.col(text_col).cast("string")
-    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("wide"), text).alias("h2"), text.alias("text"))
+    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_hashes(text), text.alias("text"))
     rows, _ = scratch.write(signatures(marked, ngram))
     # One text of each class stands for it.
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct("h1", "h2", "n", "bands")).alias("r")).select("cls", "r.*")
-    entries, entries_path = scratch.write(classes.select("cls", "n", F.explode("bands").alias("val")))
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct("h1", "h2", "n", "fp", "bands")).alias("r")).select("cls", "r.*")
+    classes, _ = scratch.write(classes)
+    entries = classes.select("cls", "n", F.explode("bands").alias("val"))
     size = entries.groupBy("val").agg(F.count("*").alias("size")).filter("size > 1")
     shared, _ = scratch.write(entries.join(size, "val"))
-    scratch.drop(entries_path)
     u, v = (shared.select("val", "size", F.col("cls").alias(c), F.col("n").alias(f"n_{c}")) for c in "uv")
     v = v.drop("size")
     possible = (F.col("u") < F.col("v")) & _near(F.col("n_u"), F.col("n_v"), threshold)
@@ -127,9 +153,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = shared.filter(F.col("size") > crowd)
     centre = crowded.groupBy("val").agg(F.array(*[F.min(F.when(part == i, F.struct("cls", "n"))) for i in range(centres)]).alias("c")).select("val", F.explode(F.filter("c", lambda c: c.isNotNull())).alias("c"))
     stars = crowded.join(centre, "val").filter((F.col("cls") != F.col("c.cls")) & _near(F.col("n"), F.col("c.n"), threshold)).select(F.least("cls", "c.cls").alias("u"), F.greatest("cls", "c.cls").alias("v"))
-    pairs, _ = scratch.write(small.unionByName(stars).distinct())
+    pairs, _ = scratch.write(small.unionByName(stars).unionByName(fingerprint_pairs(classes, scratch)).distinct())
 
-    held = crowded.select("cls").unionByName(pairs.select(F.col("u").alias("cls"))).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+    held = crowded.select("cls").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("cls"))).distinct()
     chosen = classes.select("cls", "h1", "h2").join(held, "cls", "left_semi")
     sets, _ = scratch.write(_sets(marked.join(chosen, ["h1", "h2"]).select("cls", "text").dropDuplicates(["cls"]), ngram))
     edges, _ = scratch.write(_verified(pairs, sets, threshold))

@@ -25,6 +25,8 @@ from .common import Scratch
 
 REST = "rest"
 GROUP = 128
+#: Slots of a period at most: the plan of one period is a broadcast of as many rows.
+PERIOD = 100_000
 
 
 def schedule(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
@@ -32,6 +34,8 @@ def schedule(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     q = sum(weights.values())
     if not weights or min(weights.values()) < 1:
         raise ValueError("weights are positive integers")
+    if q > PERIOD:
+        raise ValueError(f"weights sum to over {PERIOD}")
     releases: list[list[str]] = [[] for _ in range(q)]
     for name, a in weights.items():
         for i in range(a):
@@ -66,7 +70,7 @@ def mix(docs: DataFrame, weights: dict[str, int], block_docs: int = 16, id_col:
     """
     spark = docs.sparkSession
     period = schedule(weights if REST in weights else {**weights, REST: 1})
-    q = len(period)
+    q = len(period)  # at most PERIOD, so are the two broadcasts below
     sizes = Counter(p[0] for p in period)
     columns = [list(c) for c in zip(*[(*p, sizes[p[0]]) for p in period], strict=True)]
     plan = spark.createDataFrame(pa.table(columns, ["stream", "place", "at", "first", "last", "a"]))  # a constant of the plan
@@ -85,19 +89,26 @@ def mix(docs: DataFrame, weights: dict[str, int], block_docs: int = 16, id_col:
     base = F.col("_period") * q
     rows = rows.select("doc_id", "source", "stream", "block", (base + F.col("at")).alias("slot"), (base + F.col("first")).alias("release"), (base + F.col("last")).alias("deadline"), "_in", "row_hash")
     # Written once: the counts of the groups and the ranks inside them both read it.
-    rows, _ = Scratch(spark).write(rows.withColumn("_group", F.expr(f"slot div {GROUP}")))
-    sizes = rows.groupBy("_group").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows, _ = Scratch(spark).write(rows.withColumn("_group", F.expr(f"slot div {GROUP}")).withColumn("_far", F.expr(f"slot div {GROUP * GROUP * 8}")))
+    # Counts add up in two levels: over the groups of a stretch of slots, and over the stretches.
+    sizes = rows.groupBy("_far", "_group").agg(F.count("*").alias("_n"))
+    near = Window.partitionBy("_far").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    wide = Window.orderBy("_far").rowsBetween(Window.unboundedPreceding, -1)  # a row for over 130,000 slots
+    stretches = sizes.groupBy("_far").agg(F.sum("_n").alias("_n")).select("_far", F.coalesce(F.sum("_n").over(wide), F.lit(0)).alias("_base"))
+    offsets = sizes.withColumn("_near", F.coalesce(F.sum("_n").over(near), F.lit(0))).join(stretches, "_far").select("_group", (F.col("_near") + F.col("_base")).alias("_before"))
     inside = Window.partitionBy("_group").orderBy("slot", "_in")
     found = rows.withColumn("_r", F.row_number().over(inside)).join(offsets, "_group")
-    return found.withColumn("position", F.col("_before") + F.col("_r") - 1).drop("_group", "_before", "_r", "_in")
+    return found.withColumn("position", F.col("_before") + F.col("_r") - 1).drop("_group", "_far", "_before", "_r", "_in")
 
 
-def reordered(docs: DataFrame, weights: dict[str, int], block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` in the mixed order. Positions are found on narrow rows; texts meet them in one join."""
-    places = mix(docs, weights, block_docs, id_col, source_col).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "position")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("_hash"))
-    whole = whole.select(F.coalesce("_id", F.lit(-1)).alias("_key"), "_hash", "row").dropDuplicates(["_key", "_hash"])
-    places = places.select(F.coalesce("_id", F.lit(-1)).alias("_key"), "_hash", "position")
-    return whole.join(places, ["_key", "_hash"]).orderBy("position").select("row.*")
+def placed(docs: DataFrame, weights: dict[str, int], block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source", name: str = "position") -> DataFrame:
+    """The rows of ``docs`` with their place in the mixed order in a last column ``name``, which ``docs`` must not have.
+
+    Positions are found on narrow rows; texts meet them in one join and are not sorted, since no table keeps an order.
+    """
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
+    places = mix(docs, weights, block_docs, id_col, source_col).select(F.coalesce("doc_id", F.lit(-1)).alias("_key"), F.col("row_hash").alias("_hash"), "position")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_key"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("_hash"))
+    whole = whole.dropDuplicates(["_key", "_hash"])  # a repeated row has as many places
+    return whole.join(places, ["_key", "_hash"]).select("row.*", F.col("position").alias(name))

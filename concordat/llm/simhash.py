@@ -111,6 +111,12 @@ def fingerprints_of(texts: list[bytes], ngram: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(n)
 
 
+def fingerprint_of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of one text's shingle hashes, as a signed long."""
+    ones = _set_bits(hashes, np.zeros(len(hashes), np.int64), 1)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[0, 0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint of every text as a signed long."""
     bound_batches(docs.sparkSession)

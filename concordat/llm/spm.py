@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
@@ -97,8 +97,11 @@ def _groups(texts: pa.Array, size: int = 1 << 22) -> Iterator[list[str | None]]:
         yield held
 
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """(doc_id, ids, decoded); with ``digests`` instead (doc_id, n_tokens, ids_sha256, decoded_sha256) of the same."""
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep: Column | None = None) -> DataFrame:
+    """(doc_id, ids, decoded); with ``digests`` instead (doc_id, n_tokens, ids_sha256, decoded_sha256) of the same.
+
+    With ``keep``, a column ``kept`` of its values follows.
+    """
     import hashlib
 
     bound_batches(docs.sparkSession)
@@ -108,16 +111,20 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             done = 0
             for texts in _groups(batch.column(1)):
-                doc, ids = batch.column(0).slice(done, len(texts)), table.encode(texts)
+                ids = table.encode(texts)
+                doc, *more = (batch.column(i).slice(done, len(texts)) for i in range(batch.num_columns) if i != 1)
                 done += len(texts)
                 if digests:
                     yield pa.RecordBatch.from_arrays(
-                        [doc, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(table.decode(x).encode()).hexdigest() for x in ids])],
-                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                        [doc, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(table.decode(x).encode()).hexdigest() for x in ids]), *more],
+                        names,
                     )
                 else:
                     at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                    yield pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))), pa.array([table.decode(x) for x in ids])], ["doc_id", "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))), pa.array([table.decode(x) for x in ids]), *more], names)
 
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if keep is None else [keep.alias("kept")]))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    schema += "" if keep is None else f", kept {source.schema['kept'].dataType.simpleString()}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return source.mapInArrow(run, schema)

@@ -20,7 +20,25 @@ def test_groups_of_copies_keep_one_whole_document_each(spark):
     lines = corpus_pipeline.line_dedup(spark, docs, "").cache()
     near = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, lines, "").collect()}
     assert {d: t for d, t in near.items() if d < 1000} == {100 * g: text for g, text in enumerate(texts)}
-    assert sum(d >= 1000 for d in near) == 12 and not any("common" in t for t in near.values())
+    assert sum(d >= 1000 for d in near) == 12 and [d for d, t in near.items() if "common" in t] == [1000]
+
+
+def test_many_near_copies_leave_one_whole_text(spark):
+    rng = random.Random(9)
+    text = [sentence(rng, 12) for _ in range(9)]
+    rows = [(50 + i, "\n".join([*text[:4], sentence(rng, 3), *text[4:]]), "en", "src0", 1) for i in range(15)]
+    lines = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
+    near = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, lines, "").collect()}
+    assert near[50] == rows[0][1] and all(len(t.split()) == 3 for d, t in near.items() if d != 50)
+
+
+def test_rows_of_one_id_and_rows_without_an_id(spark):
+    rng = random.Random(10)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(5, a, "en", "src0", 1), (5, b, "en", "src0", 1), (5, b, "en", "src1", 2), (7, a, "en", "src0", 1), (None, b, "en", "src0", 1), (None, c, "en", "src0", 1), (None, c, "en", "src0", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(5, a), (5, b), (None, c)], key=repr)
 
 
 def variants(rng, at):
@@ -42,18 +60,41 @@ def shingles(text, n=5):
     return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or ({" ".join(w)} if w else set())
 
 
+def groups(sets):
+    """The class of each set of shingles: all with a Jaccard of 0.8 or more are linked."""
+    low = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                ra, rb = low[a], low[b]
+                low = [min(ra, rb) if r in (ra, rb) else r for r in low]
+    return low
+
+
 def test_near_dedup_links_at_a_jaccard_of_0_8(spark):
     rows = [*variants(random.Random(4), 0), (900, "short text"), (901, "Short  TEXT"), (902, "short texts"), (903, ""), (904, " \n")]
-    low = {d: d for d, _ in rows}
-    sets = {d: shingles(text) for d, text in rows}
-    for a in sets:
-        for b in sets:
-            if b < a and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
-                ra, rb = low[a], low[b]
-                low = {d: min(ra, rb) if r in (ra, rb) else r for d, r in low.items()}
+    low = groups([shingles(text) for _, text in rows])
     docs = spark.createDataFrame([(d, text, "en", "src0", 1) for d, text in rows], SCHEMA).repartition(5)
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
-    assert kept == sorted(set(low.values()))
+    assert kept == sorted({rows[c][0] for c in low})
+
+
+def test_recall_of_near_dedup_by_similarity(spark):
+    """At least 0.99 of the pairs with a Jaccard of 0.8 or more are found, and no pair below links."""
+    rng, rows, near = random.Random(12), [], {}
+    for i in range(400):
+        base = [sentence(rng, 1) for _ in range(rng.randint(60, 200))]
+        copy = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(1, max(1, len(base) // 25))):
+            copy[at] = sentence(rng, 1)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        a, b = (shingles(t) for _, t in rows[-2:])
+        near[i] = len(a & b) >= 0.8 * len(a | b)
+    docs = spark.createDataFrame([(d, text, "en", "src0", 1) for d, text in rows], SCHEMA).repartition(5)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    found = {i: 2 * i + 1 not in kept for i in near}
+    assert all(2 * i in kept for i in near) and not any(found[i] and not near[i] for i in near)
+    assert 100 < sum(near.values()) < 390 and sum(found[i] for i in near if near[i]) >= 0.99 * sum(near.values())
 
 
 def test_unlabelled_documents_stay(spark):

@@ -95,24 +95,27 @@ def test_components(spark):
     assert components.connected(spark, spark.createDataFrame([], "u long, v long"), Scratch(spark)).collect() == []
 
 
-def test_pipeline_stages(spark, docs, corpus):
-    names = ["doc_id", "text", "lang", "source", "n_chars"]
+def test_pipeline_stages(spark, crowded, corpus):
+    docs = crowded
+    names = docs.columns
     told = corpus_pipeline.language_id(spark, docs, "").cache()
     assert told.columns == names
     lettered = [r for r in corpus if any(c.isalpha() for c in r[1] or "")]
     assert rows_of(told, "doc_id", "text") == sorted(((r[0], r[1]) for r in lettered), key=repr)
     lines = corpus_pipeline.line_dedup(spark, told, "").cache()
     assert lines.columns == names and lines.count() == len(lettered)
-    assert lines.filter(F.lower("text").contains("common line")).isEmpty()
+    assert lines.filter(F.lower("text").contains("common line")).select("text").distinct().count() == 1
     assert lines.filter("n_chars <> char_length(text)").isEmpty()
     near = corpus_pipeline.near_dedup(spark, lines, "").cache()
     kept = Counter(r["doc_id"] for r in near.collect())
-    assert near.columns == names and max(n for d, n in kept.items() if d is not None) == 1
+    assert near.columns == names and all(n == 1 for d, n in kept.items() if d != 10) and kept[10] == 2  # two texts of one id
     assert sum(500 <= d < 512 for d in kept if d is not None) <= 1
-    mixed = corpus_pipeline.mix_sources(spark, near, "")
-    assert mixed.columns == names and rows_of(mixed) == rows_of(near)
+    mixed = corpus_pipeline.mix_sources(spark, near, "").cache()
+    assert mixed.columns == [*names, corpus_pipeline.POSITION] and rows_of(mixed.select(*names)) == rows_of(near)
+    assert sorted(r[-1] for r in mixed.collect()) == list(range(near.count()))
     last = corpus_pipeline.sentencepiece_ids(spark, mixed, "")
-    assert last.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and last.count() == near.count()
+    assert last.columns == ["doc_id", "position", "n_tokens", "ids", "decoded_sha256"]
+    assert rows_of(last, "doc_id", "position") == rows_of(mixed, "doc_id", corpus_pipeline.POSITION)
 
 
 def test_pipeline_of_an_empty_table(spark):
@@ -125,25 +128,32 @@ def test_pipeline_of_an_empty_table(spark):
 def test_pipeline_run_is_brute_force(spark, docs, corpus, tmp_path):
     import sentencepiece
 
-    from .test_texts import plain_components, plain_fingerprint
+    from .test_pipeline import groups, shingles
+    from .test_texts import duck
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
-    rows = [(r[0], r[1]) for r in corpus if any(c.isalpha() for c in r[1] or "")]
+    rows = [(r[0], r[1], r[3]) for r in corpus if any(c.isalpha() for c in r[1] or "")]
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(lower)
-    seen = Counter(k for _, text in rows for k in {key(line) for line in text.split("\n")} if k)
-    rows = [(d, "\n".join(line for line in text.split("\n") if seen[key(line)] < 10)) for d, text in rows]
-    comp = plain_components([tuple(plain_fingerprint(text, 5, word) for word in range(3)) for _, text in rows])
-    low = {}
-    for (d, _), c in zip(rows, comp, strict=True):
-        low[c] = min((x for x in (low.get(c), d) if x is not None), default=None)
-    stay = {d for (d, _), c in zip(rows, comp, strict=True) if d is not None and low[c] == d}
+    rank = lambda d: (d is None, d or 0)
+    holders = {}
+    for d, text, _ in rows:
+        for k in {key(line) for line in text.split("\n")} - {""}:
+            held = holders.setdefault(k, {})
+            held[text] = min(held.get(text, rank(d)), rank(d))
+    first = {k: min(held, key=held.get) for k, held in holders.items() if len(held) >= 10}
+    rows = [(d, "\n".join(line for line in text.split("\n") if first.get(key(line), text) == text), s) for d, text, s in rows]
+    comp = groups([shingles(text) for _, text, _ in rows])
+    one = {}
+    for r, c in zip(rows, comp, strict=True):
+        one[c] = min(one.get(c, r), r, key=lambda r: rank(r[0]))
+    kept = {(d, s): text for d, text, s in one.values()}
+    assert len(kept) == len(one) < len(rows)
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.model_file())
     want = []
-    for d, text in dict.fromkeys(rows):
-        if d is None or (d in stay and d != 10):
-            ids = sp.encode(text, add_bos=True, add_eos=True)
-            want.append((d, len(ids), ids, hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
-    assert sorted((tuple(r) for r in got if r["doc_id"] != 10), key=repr) == sorted(want, key=repr)
-    assert sum(r["doc_id"] == 10 for r in got) == (10 in stay)  # two texts share this id: one row of it stays
+    for d, s, position in duck(queries.mixing_sql(), documents=(list(kept), "doc_id long, source string")).select("doc_id, source, position").fetchall():
+        ids = sp.encode(kept[d, s], add_bos=True, add_eos=True)
+        want.append((position, d, len(ids), ids, hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    assert sorted((r["position"], r["doc_id"], *r[2:]) for r in got) == sorted(want)
+    assert [r["position"] for r in sorted(got, key=lambda r: r["position"])] == list(range(len(kept)))

@@ -309,15 +309,26 @@ def test_mixing_is_sql(docs, corpus):
     assert rows_of(got, "doc_id", "source") == sorted(((r[0], r[3]) for r in corpus), key=repr)
 
 
-def test_mixing_orders_rows_with_clashing_columns(crowded, corpus):
-    got = mixing.reordered(crowded, {"src0": 2, "src1": 1}, 3)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
-    rows = got.collect()
+def test_mixing_places_rows_with_clashing_columns(crowded, corpus):
+    got = mixing.placed(crowded, {"src0": 2, "src1": 1}, 3, name="place")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHING, "place"]
+    with pytest.raises(ValueError):
+        mixing.placed(crowded, {"src0": 2, "src1": 1}, 3)
+    rows = sorted(got.collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in rows] == list(range(len(corpus)))
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in rows))) == sorted(map(repr, ((r[0], r[1]) for r in corpus)))
     streams = [r["source"] if r["source"] in ("src0", "src1") else "rest" for r in rows]
     assert Counter(streams[:48]) == {"src0": 24, "src1": 12, "rest": 12}
 
 
+def test_mixing_positions_over_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 2)
+    rows = [(i, f"src{i % 3}") for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), queries.WEIGHTS, 2)
+    order = sorted((r["slot"], r["position"]) for r in got.collect())
+    assert [p for _, p in order] == list(range(500))
+
+
 # SentencePiece
 
 
@@ -354,6 +365,6 @@ def test_sentencepiece_odd_texts(monkeypatch):
 def test_empty_table(empty, name):
     run = {
         "op1": simhash.near_duplicates, "op2": linededup.dedup_lines, "op3": licenses.scan, "op5": suffixdedup.remove_repeats, "op7": fingerprints.edited_report,
-        "op9": lambda d: mixing.reordered(d, queries.WEIGHTS), "op10": lambda d: spm.encode(d, queries.model_file()),
+        "op9": lambda d: mixing.placed(d, queries.WEIGHTS), "op10": lambda d: spm.encode(d, queries.model_file()),
     }[name]
     assert run(empty).collect() == []
