@@ -7,9 +7,10 @@ two meet with probability 1 - (1 - J^ROWS)^BANDS, 99.93 % at a Jaccard of 0.8, 9
 only if the Jaccard of the whole sets, not an estimate, reaches the threshold.
 
 Crowded buckets (over ``crowd`` classes): first each class meets the ``centres`` smallest ones of the bucket, linear
-in its size. Then only classes that are still in different components meet, all of them: pairs inside one component
-cannot change the groups. So the groups are those of all candidates, and only a crowd of texts that do not link costs
-the square of its size.
+in its size. Classes of a crowd that are then still in different components go through an exact similarity join by
+prefixes: with its shingles in order of their frequency among these classes, a set of n can reach the threshold t with
+another only if they share one of its first n - ceil(t n) + 1. These are its rarest, mostly its own, so texts of a
+crowd that do not link hardly meet. Pairs inside one component cannot change the groups and are left out.
 
 A text without words is the class of the empty set and links to no other. A null id is kept (a group of such rows
 alone has a null component_id); an empty table gives an empty result.
@@ -125,6 +126,26 @@ def _near(a, b, threshold: float):
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - F.lit(1e-9)
 
 
+def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(u, v), u < v: all pairs of the classes ``left`` (cls, n, root), of different roots, that can reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, held in enumerate(batch.column(3).to_pylist()):
+                token = np.frombuffer(held, np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(token), batch.column(k)[i].as_py())) for k in range(3)), pa.array(token)], ["cls", "n", "root", "token"])
+
+    tokens, _ = scratch.write(left.join(sets, "cls").select("cls", "n", "root", "shingles").mapInArrow(run, "cls long, n long, root long, token long"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    # Shingles of one class alone come first in its order, and meet nobody: they only shorten the rest of the prefix.
+    held = tokens.join(often, "token").groupBy("cls", "n", "root").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    size = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("t"))
+    prefix, _ = scratch.write(held.filter(size > 0).select("cls", "n", "root", F.explode(F.slice("t", F.lit(1), size.cast("int"))).alias("t")).select("cls", "n", "root", "t.token"))
+    u, v = (prefix.select("token", F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "uv")
+    meet = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & _near(F.col("n_u"), F.col("n_v"), threshold)
+    return u.join(v, "token").filter(meet).select("u", "v").distinct()
+
+
 def text_hashes(text: Column) -> list[Column]:
     """h1 and h2, 128 bits that stand for a text."""
     text = text.cast("string")
@@ -161,12 +182,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges, _ = scratch.write(_verified(pairs, sets, threshold))
     linked = connected(spark, edges, scratch)
 
-    # What is left of the crowds: classes of different components meet.
     label = crowded.select("val", "cls", "n").join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = label.groupBy("val").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("val")
-    label, _ = scratch.write(label.join(mixed, "val"))
-    u, v = (label.select("val", F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "uv")
-    rest = u.join(v, "val").filter(possible & (F.col("root_u") != F.col("root_v"))).select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
+    split = label.groupBy("val").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("val")
+    left, _ = scratch.write(label.join(split, "val", "left_semi").select("cls", "n", "root").distinct())
+    rest = prefix_pairs(left, sets, threshold, scratch).join(pairs, ["u", "v"], "left_anti")
     more, _ = scratch.write(_verified(rest, sets, threshold))
     if not more.isEmpty():
         linked = connected(spark, edges.unionByName(more), scratch)
