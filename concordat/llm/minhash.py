@@ -9,8 +9,8 @@ only if the Jaccard of the whole sets, not an estimate, reaches the threshold.
 Crowded buckets (over ``crowd`` classes): first each class meets the ``centres`` smallest ones of the bucket, linear
 in its size. Classes of a crowd that are then still in different components go through an exact similarity join by
 prefixes: with its shingles in order of their frequency among these classes, a set of n can reach the threshold t with
-another only if they share one of its first n - ceil(t n) + 1. These are its rarest, mostly its own, so texts of a
-crowd that do not link hardly meet. Pairs inside one component cannot change the groups and are left out.
+another only if they share one of its first n - ceil(t n) + 1, with enough left behind it in both. These are its
+rarest, mostly its own, so texts of a crowd that do not link hardly meet. Pairs inside one component cannot change the groups and are left out.
 
 A text without words is the class of the empty set and links to no other. A null id is kept (a group of such rows
 alone has a null component_id); an empty table gives an empty result.
@@ -139,10 +139,14 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float, scratch: Sc
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
     # Shingles of one class alone come first in its order, and meet nobody: they only shorten the rest of the prefix.
     held = tokens.join(often, "token").groupBy("cls", "n", "root").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
-    size = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("t"))
-    prefix, _ = scratch.write(held.filter(size > 0).select("cls", "n", "root", F.explode(F.slice("t", F.lit(1), size.cast("int"))).alias("t")).select("cls", "n", "root", "t.token"))
-    u, v = (prefix.select("token", F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "uv")
-    meet = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & _near(F.col("n_u"), F.col("n_v"), threshold)
+    own = F.col("n") - F.size("t")
+    size = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - own
+    prefix = held.filter(size > 0).select("cls", "n", "root", own.alias("own"), F.posexplode(F.slice("t", F.lit(1), size.cast("int"))).alias("i", "t"))
+    # From its first common shingle on, a pair has no more shingles in common than either set has left.
+    prefix, _ = scratch.write(prefix.select("cls", "n", "root", (F.col("n") - F.col("own") - F.col("i")).alias("rest"), "t.token"))
+    u, v = (prefix.select("token", *[F.col(a).alias(f"{b}{c}") for a, b in (("cls", ""), ("n", "n_"), ("root", "root_"), ("rest", "rest_"))]) for c in "uv")
+    enough = F.least("rest_u", "rest_v") >= F.lit(threshold / (1 + threshold)) * (F.col("n_u") + F.col("n_v")) - F.lit(1e-9)
+    meet = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & _near(F.col("n_u"), F.col("n_v"), threshold) & enough
     return u.join(v, "token").filter(meet).select("u", "v").distinct()
 
 
