@@ -69,10 +69,28 @@ def plain_topk(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile", [(4096, 512), (16, 3)])
+def test_grid():
+    for shards, tiles, cells in ((0, 0, 8), (1, 1, 8), (50, 1, 8), (50, 2, 8), (3, 40, 16), (1000, 20, 200), (7, 7, 1)):
+        down, across = topk.grid(shards, tiles, cells)
+        assert 1 <= down <= max(1, shards) and 1 <= across <= max(1, tiles) and down * across <= cells
+        assert 2 * down * across >= min(cells, shards * tiles)
+    assert topk.grid(1000, 20, 200)[1] < 6  # shards are many, so few copies of them
+
+
+def test_topk_runs_in_cells(spark):
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>").repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = topk.search(df, F.col("vec_id") % 2 == 0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "Cross" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("tile", [(4096, 512, 1 << 20), (16, 3, 1 << 20), (64, 64, 30)])
 def test_topk_is_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(topk, "SHARD", tile[0])
-    monkeypatch.setattr(topk, "TILE", tile[1])
+    for name, value in zip(("SHARD", "TILE", "BLOCK"), tile, strict=True):
+        monkeypatch.setattr(topk, name, value)
     df = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>").withColumn("ids", F.lit(1)).withColumn("dim", F.lit("x"))
     got = topk.search(df.repartition(4), F.col("vec_id") % 50 == 0)
     assert sorted(map(tuple, got.collect())) == plain_topk(vectors(), 5)
