@@ -4,21 +4,24 @@ Every byte covered by a string of ``length`` bytes that also starts in a documen
 
 1. Winnowing deals out the work. The anchor of a window of ``length`` bytes is the smallest hash of its substrings
    of ``ANCHOR`` bytes, so equal windows have equal anchors wherever they stand. A piece is a run of windows with
-   one anchor. Map tasks send, for each distinct piece of a block of documents, (anchor, piece hash, smallest id);
-   later copies within the block are settled on the spot. A reducer of an anchor range sees which pieces recur: all
-   but the first document of a piece lose it, and anchors with several different pieces are contested.
-2. The first document of each contested piece sends its bytes to the shard of the anchor. A shard concatenates its
+   one anchor. Map tasks report (anchor, row) for each block of rows; a reducer of an anchor range tells the rows of
+   every anchor that more than one row has. Windows of other anchors stand in one row only.
+2. Each row sends the bytes of its pieces with shared anchors to the shard of the anchor. A shard concatenates its
    pieces and builds a suffix array in two stages: only suffixes smaller than their successors are sorted directly,
    the others are induced by scanning the buckets in order. Common prefixes of neighbours of at least ``length``
-   bytes mark equal windows; every occurrence in a document above the smallest id is a removal.
-3. Intervals are merged per document and cut out.
+   bytes mark equal windows; every occurrence in a document above the smallest id is a removal. A piece whose very
+   bytes the block has in a smaller id need not travel: it is a removal on the spot.
+3. Intervals are merged per row and cut out.
 
-Hot anchors: a block with over ``CROWD`` different pieces of one anchor reports the anchor as crowded instead of the
-pieces, and so does a reducer that sees over ``CROWD * 8``; the windows of crowded anchors travel one by one to the
-shard of the window's hash, smallest id per block first. Nothing is dropped, capped or sampled.
+So hashes say which windows meet; that they are equal is decided by their bytes alone.
 
-Null text is empty. Ids rank documents; rows with the same id are one document and never remove from each other, and a null id ranks
-after all others. Documents shorter than ``length`` keep everything. An empty table gives an empty result.
+Hot anchors: a block with over ``CROWD`` rows of one anchor reports the anchor as crowded and its rows apart, and so
+does a reducer that sees over ``CROWD * 8``; the windows of crowded anchors travel one by one to the shard of the
+window's hash, smallest id per block first. Nothing is dropped, capped or sampled.
+
+Null text is empty. Ids rank documents; rows with the same id are one document and never remove from each other, and a
+null id ranks after all others. Rows are known by a hash of id and text, so many rows of one id, or without one, make
+no group. Documents shorter than ``length`` keep everything. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +44,8 @@ MAX_WINDOWS = 512
 SHARD_BYTES = 1 << 20
 STRETCH = 1 << 20
 LAST_ID = (1 << 63) - 1
-REMOVE, SEND, SPLIT = 0, 1, 2
-SENT = ["shard", "order", "doc_id", "mark", "start", "body"]
+#: Kinds of packed rows: pairs to judge or pieces to sort; rows that pass; anchors that are crowded.
+WORK, PASS, MARK = 0, 1, 2
 U = np.uint64
 _K = [U(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93)]
 
@@ -78,18 +82,18 @@ def window_minimum(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def pieces(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, windows, piece key) of the runs of windows with one anchor, a stretch of the text at a time."""
+def pieces(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, start, windows) of the runs of windows with one anchor, a stretch of the text at a time."""
     if len(data) < STRETCH + length:
         return _stretch(data, length)
     parts = []
     for at in range(0, len(data) - length + 1, STRETCH):
-        low, start, size, key = _stretch(data[at : at + STRETCH + length - 1], length)
-        parts.append((low, start + at, size, key))
+        low, start, size = _stretch(data[at : at + STRETCH + length - 1], length)
+        parts.append((low, start + at, size))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def _stretch(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _stretch(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same of one stretch; runs over MAX_WINDOWS are cut."""
     anchor = min(ANCHOR, length)
     low = window_minimum(substring_hashes(data, anchor), length - anchor + 1)
@@ -101,43 +105,13 @@ def _stretch(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
         step = np.arange(cuts.sum()) - first
         start, end = np.repeat(start, cuts) + step * MAX_WINDOWS, np.repeat(start + size, cuts)
         size = np.minimum(MAX_WINDOWS, end - start)
-    # Sum of byte values times powers of an odd number, shifted back to the start: equal pieces have equal hashes.
-    powers = _powers(len(data) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + U(1)) * _K[2] * powers[: len(data)])))
-    content = (total[start + size + length - 1] - total[start]) * _inverse_powers(len(data) + 1)[start]
-    key = mixed(content + size.astype(np.uint64) * _K[0]) & ~U(0xFF)  # 56 bits beside the anchor's 64
-    return mixed(low[start]), start, size, key  # minima crowd near 0, so anchors are mixed once more
-
-
-_BASE = 0x27D4EB2F165667C5
-_tables: dict[int, np.ndarray] = {}
-
-
-def _table(base: int, n: int) -> np.ndarray:
-    held = _tables.get(base)
-    if held is None or len(held) < n:
-        with np.errstate(over="ignore"):
-            held = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 17) - 1, base, np.uint64))), dtype=np.uint64)
-        _tables[base] = held
-    return held
-
-
-def _powers(n: int) -> np.ndarray:
-    return _table(_BASE, n)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    return _table(pow(_BASE, -1, 1 << 64), n)
-
-
-def reply_key(anchor: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return mixed(anchor * _K[1] ^ key).view(np.int64)
+    return mixed(low[start]), start, size  # minima crowd near 0, so anchors are mixed once more
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """64-bit columns one after the other, bytes of one place together: sorted anchors compress well."""
-    anchors = np.diff(columns[0].view(np.uint64), prepend=U(0))
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in (anchors, *columns[1:]))
+    """64-bit columns one after the other, the first as differences, bytes of one place together: so they compress."""
+    first = np.diff(columns[0].view(np.uint64), prepend=U(0))
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in (first, *columns[1:]))
 
 
 def unpack(data: bytes, count: int) -> list[np.ndarray]:
@@ -171,125 +145,125 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[lis
         yield held
 
 
+def _homes(deal: np.ndarray, order: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(home, places) of 64-bit values dealt into ``count`` ranges, so that neighbours differ little; by ``order`` inside."""
+    home = (((deal >> U(32)) * U(count)) >> U(32)).astype(np.int64)
+    by = np.lexsort((order, home))
+    begin = np.flatnonzero(firsts(home[by]))
+    for b, e in zip(begin, [*begin[1:], len(by)], strict=False):
+        yield int(home[by[b]]), by[b:e]
+
+
 def _report(length: int, buckets: int):
-    """Stage 1, map side: (bucket, kind, packed) for each block. Kind 0 is contested by anchor, others pass through."""
+    """Stage 1, map side: (bucket, kind, units, data) for each block of (who, text)."""
+
+    def packed(anchor: np.ndarray, who: np.ndarray, deal: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for home, at in _homes(deal, anchor, buckets):
+            units, unit = np.unique(who[at], return_inverse=True)
+            rows.append((home, kind, pack(units), pack(anchor[at], unit.astype(np.int64))))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "units", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches):
-            found = [(doc, *pieces(np.frombuffer(text, np.uint8), length)) for doc, text in rows if len(text) >= length]
+            found = [(who, np.unique(pieces(np.frombuffer(text, np.uint8), length)[0])) for who, text in rows if len(text) >= length]
             if not found:
                 continue
-            anchor, key = np.concatenate([f[1] for f in found]), np.concatenate([f[4] for f in found])
-            doc = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-            order = np.lexsort((doc, key, anchor))
-            anchor, key, doc = anchor[order], key[order], doc[order]
-            new = firsts(anchor, key, doc)
-            anchor, key, doc = anchor[new], key[new], doc[new]
-            first = firsts(anchor, key)
-            later = ~first  # the block holds the piece in a smaller id: settled
-            a, k, d = anchor[first], key[first], doc[first]
-            begin = np.flatnonzero(firsts(a))
-            many = np.repeat(np.diff(np.append(begin, len(a))) > CROWD, np.diff(np.append(begin, len(a))))
-            marks = a[begin[many[begin]]]
-            yield from _packed(a[~many], k[~many], d[~many], a[~many], 0, buckets)
-            yield from _packed(marks, np.zeros_like(marks), np.full(len(marks), -1, np.int64), marks, 3, buckets)
-            spread = mixed(reply_key(anchor, key).view(np.uint64) + doc.view(np.uint64))
-            yield from _packed(anchor[later], key[later], doc[later], spread[later], 1, buckets)
-            yield from _packed(a[many], k[many], d[many], spread[first][many], 2, buckets)
+            anchor = np.concatenate([a for _, a in found])
+            who = np.repeat(np.array([w for w, _ in found], np.int64).view(np.uint64), [len(a) for _, a in found])
+            order = np.lexsort((who, anchor))
+            anchor, who = anchor[order], who[order]
+            new = firsts(anchor, who)
+            anchor, who = anchor[new], who[new]
+            begin = np.flatnonzero(firsts(anchor))
+            size = np.diff(np.append(begin, len(anchor)))
+            many = np.repeat(size > CROWD, size)
+            marks = anchor[begin[size > CROWD]]
+            yield from packed(anchor[~many], who[~many], anchor[~many], WORK)
+            yield from packed(marks, np.zeros_like(marks), marks, MARK)
+            yield from packed(anchor[many], who[many], mixed(who[many]), PASS)
 
     return run
 
 
-def _packed(anchor, key, doc, deal, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    if len(anchor):
-        home = (((deal >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)  # ranges, so neighbours differ little
-        order = np.lexsort((anchor, home))
-        anchor, key, doc, home = anchor[order], key[order], doc[order], home[order]
-        begin = np.flatnonzero(firsts(home))
-        end = np.append(begin[1:], len(home))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(home[begin], pa.int32()), pa.array(np.full(len(begin), kind), pa.int32()), pa.array([pack(anchor[b:e], key[b:e], doc[b:e].view(np.uint64)) for b, e in zip(begin, end, strict=True)], pa.binary())],
-            ["bucket", "kind", "data"],
-        )
-
-
 def _judge(table: pa.Table) -> pa.Table:
-    """Stage 1, reducer of a bucket: (doc, key, action) for pieces that a document loses or must send."""
-    out: list[tuple[np.ndarray, np.ndarray, int]] = []
-    contested, marks = [], []
-    for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
-        a, k, d = unpack(data, 3)
-        if kind == 0:
-            contested.append((a, k, d.view(np.int64)))
-        elif kind == 3:
-            marks.append(a)
-        else:
-            out.append((d.view(np.int64), reply_key(a, k), REMOVE if kind == 1 else SPLIT))
-    if contested:
-        a, k, d = (np.concatenate(c) for c in zip(*contested, strict=True))
-        order = np.lexsort((d, k, a))
-        a, k, d = a[order], k[order], d[order]
-        first = firsts(a, k)
-        low = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-        lose = d > low
-        out.append((d[lose], reply_key(a[lose], k[lose]), REMOVE))
-        begin = np.flatnonzero(firsts(a))
-        size = np.diff(np.append(begin, len(a)))
-        kinds = np.repeat(np.add.reduceat(first.astype(np.int64), begin), size)
-        crowded = (kinds > 8 * CROWD) | np.isin(a, np.concatenate(marks) if marks else np.zeros(0, np.uint64))
-        docs = np.repeat(np.maximum.reduceat(d, begin) > np.minimum.reduceat(d, begin), size)
-        send = ~lose & ~crowded & (kinds > 1) & docs
-        out.append((d[send], reply_key(a[send], k[send]), SEND))
-        split = ~lose & crowded
-        out.append((d[split], reply_key(a[split], k[split]), SPLIT))
-    return pa.table({"doc_id": np.concatenate([x[0] for x in out]), "key": np.concatenate([x[1] for x in out]), "action": np.concatenate([np.full(len(x[0]), x[2], np.int8) for x in out])})
+    """Stage 1, reducer of a bucket: (who, anchor, split) for the shared anchors of each row."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORK: [], PASS: [], MARK: []}
+    for kind, units, data in zip(*(table.column(c).to_pylist() for c in ("kind", "units", "data")), strict=True):
+        anchor, unit = unpack(data, 2)
+        held[kind].append((anchor, unpack(units, 1)[0][unit.astype(np.int64)]))
+    none = [np.zeros(0, np.uint64)]
+    anchor, who = (np.concatenate([x[i] for x in held[WORK]] or none) for i in (0, 1))
+    order = np.lexsort((who, anchor))
+    anchor, who = anchor[order], who[order]
+    new = firsts(anchor, who)  # a row may stand in several blocks
+    anchor, who = anchor[new], who[new]
+    begin = np.flatnonzero(firsts(anchor))
+    size = np.repeat(np.diff(np.append(begin, len(anchor))), np.diff(np.append(begin, len(anchor))))
+    crowded = (size > 8 * CROWD) | np.isin(anchor, np.concatenate([x[0] for x in held[MARK]] or none))
+    told = crowded | (size > 1)
+    passed = [np.concatenate([x[i] for x in held[PASS]] or none) for i in (0, 1)]
+    split = np.concatenate((crowded[told], np.ones(len(passed[0]), bool)))
+    return pa.table({"who": np.concatenate((who[told], passed[1])).view(np.int64), "anchor": np.concatenate((anchor[told], passed[0])).view(np.int64), "split": split})
 
 
 def _send(length: int, shards: int):
-    """Stage 2, map side: (shard, order, doc, start, bytes) of contested pieces; single windows if crowded."""
+    """Stage 2, map side: (shard, kind, units, data, body): pieces with shared anchors, and windows if crowded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches):
-            order, doc, start, body, mark = [], [], [], [], []
-            again: list[tuple[bytes, int, int, int]] = []
-            seen: dict[bytes, tuple[int, int, int]] = {}
+            units: list[tuple[int, int, int]] = []
+            sent: list[tuple[int, int, int, bytes]] = []
             done: list[tuple[int, int, int]] = []
-            for d, text, h, send, split, _ in rows:
+            seen: dict[bytes, int] = {}
+
+            def put(order: int, start: int, body: bytes) -> None:
+                """Sends the last unit's bytes, unless the block has them in a smaller id."""
+                unit = len(units) - 1
+                at = seen.get(body)
+                if at is not None:
+                    first = sent[at]
+                    if units[first[1]][1] < units[unit][1]:
+                        done.append((unit, start, start + len(body)))
+                        return
+                    if units[first[1]][1] > units[unit][1]:
+                        done.append((first[1], first[2], first[2] + len(body)))
+                        sent[at] = (order, unit, start, body)
+                        return
+                else:
+                    seen[body] = len(sent)
+                sent.append((order, unit, start, body))
+
+            for who, text, doc, mark, send, split in rows:
                 if len(text) < length or not (send.is_valid and len(send) or split.is_valid and len(split)):
                     continue
-                a, s, n, k = pieces(np.frombuffer(text, np.uint8), length)
-                mine, h = reply_key(a, k), h.as_py()
-                for i in np.flatnonzero(np.isin(mine, np.asarray(send.values))) if send.is_valid else ():
-                    order.append(int(a[i].view(np.int64)))
-                    doc.append(d)
-                    mark.append(h)
-                    start.append(int(s[i]))
-                    body.append(text[s[i] : s[i] + n[i] + length - 1])
-                for i in np.flatnonzero(np.isin(mine, np.asarray(split.values))) if split.is_valid else ():
-                    for at in range(s[i], s[i] + n[i]):
+                units.append((who, doc.as_py(), mark.as_py()))
+                anchor, start, size = pieces(np.frombuffer(text, np.uint8), length)
+                wanted = lambda x: np.flatnonzero(np.isin(anchor, np.asarray(x.values).view(np.uint64))) if x.is_valid and len(x) else ()  # noqa: B023, E731
+                for i in wanted(send):
+                    put(int(anchor[i]), int(start[i]), text[start[i] : start[i] + size[i] + length - 1])
+                for i in wanted(split):
+                    for at in range(start[i], start[i] + size[i]):
                         window = text[at : at + length]
-                        held = seen.get(window)
-                        if held is None or d < held[0]:
-                            seen[window] = (d, int(at), h)
-                            if held is not None:
-                                done.append(held)
-                        elif d > held[0]:
-                            done.append((d, int(at), h))
-                        elif h != held[2] or at != held[1]:  # once more in the same id
-                            again.append((window, d, int(at), h))
-            for window, d, at, h in [*((w, *x) for w, x in seen.items()), *again]:
-                order.append(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True))
-                doc.append(d)
-                mark.append(h)
-                start.append(at)
-                body.append(window)
-            home = (mixed(np.array(order, np.int64).view(np.uint64)) % U(shards)).astype(np.int32)
-            if order:
-                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(order, pa.int64()), pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(start, pa.int64()), pa.array(body, pa.binary())], SENT)
+                        put(xxhash.xxh64_intdigest(window), int(at), window)
+            out = []
+            every = np.array(units, np.int64).reshape(-1, 3)
+            if sent:
+                order = np.array([x[0] for x in sent], np.uint64)
+                unit, start = (np.array([x[i] for x in sent], np.int64) for i in (1, 2))
+                for home, at in _homes(mixed(order), order, shards):
+                    used, index = np.unique(unit[at], return_inverse=True)
+                    body = [sent[i][3] for i in at]
+                    out.append((home, WORK, pack(*every[used].T), pack(order[at], index.astype(np.int64), start[at], np.array([len(b) for b in body])), b"".join(body)))
             if done:
-                ids = np.array([x[0] for x in done], np.int64)
-                home = (mixed(ids.view(np.uint64)) % U(shards)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(home), pa.nulls(len(done), pa.int64()), pa.array(ids), pa.array([x[2] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.nulls(len(done), pa.binary())], SENT)
+                unit, start, end = np.array(done, np.int64).T
+                who = every[unit, 0].view(np.uint64)
+                for home, at in _homes(mixed(who), start, shards):
+                    used, index = np.unique(unit[at], return_inverse=True)
+                    out.append((home, PASS, pack(*every[used].T), pack(start[at], index.astype(np.int64), end[at]), b""))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "kind", "units", "data", "body"])
 
     return run
 
@@ -368,68 +342,77 @@ def repeated(doc: np.ndarray, body: list[bytes], length: int) -> tuple[np.ndarra
     owner = np.repeat(np.arange(len(body), dtype=np.int32), sizes + 1)[array]
     whole = array + length <= (begin + sizes)[owner]
     array, owner = array[whole], owner[whole]
+    common = common_prefixes(text, array, length)
+    group = np.cumsum(common < length) - 1
+    low = np.minimum.reduceat(doc[owner], np.flatnonzero(common < length))[group]
+    hit = doc[owner] > low
+    return owner[hit], (array - begin[owner])[hit]
+
+
+def common_prefixes(text: np.ndarray, array: np.ndarray, length: int) -> np.ndarray:
+    """Bytes, up to ``length``, that each suffix has in common with the one before it; 0 for the first."""
     rows = np.lib.stride_tricks.sliding_window_view(text, length)
-    same = np.zeros(len(array), bool)
+    out = np.zeros(len(array), np.int64)
     for at in range(1, len(array), 1 << 16):
         to = min(len(array), at + (1 << 16))
         block = rows[array[at - 1 : to]]
-        same[at:to] = (block[1:] == block[:-1]).all(axis=1)
-    group = np.cumsum(~same) - 1
-    low = np.minimum.reduceat(doc[owner], np.flatnonzero(~same))[group]
-    hit = doc[owner] > low
-    return owner[hit], (array - begin[owner])[hit]
+        other = block[1:] != block[:-1]
+        out[at:to] = np.where(other.any(axis=1), other.argmax(axis=1), length)
+    return out
 
 
 def _sort_shard(length: int):
-    """Stage 2, reducer of a shard: (doc, from, to) intervals to remove."""
+    """Stage 2, reducer of a shard: (who, mark, a, b) intervals to remove."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = table.column("order").combine_chunks()
-        passed = np.asarray(order.is_null())
-        doc, start = np.asarray(table.column("doc_id")).astype(np.int64), np.asarray(table.column("start")).astype(np.int64)
-        mark = np.asarray(table.column("mark")).astype(np.int64)
-        docs, marks, starts = [doc[passed]], [mark[passed]], [start[passed]]
-        mine = np.flatnonzero(~passed)
-        if len(mine):
-            keys = np.asarray(order.take(pa.array(mine)))
-            mine = mine[np.argsort(keys, kind="stable")]
-            keys = np.sort(keys, kind="stable")
-            body = table.column("body").combine_chunks().take(pa.array(mine)).to_pylist()
-            total, at = np.cumsum([len(b) for b in body]), 0
+        who, mark, start, end = [], [], [], []  # of removals
+        work: list[list[np.ndarray]] = []
+        texts: list[bytes] = []
+        for kind, units, data, body in zip(*(table.column(c).to_pylist() for c in ("kind", "units", "data", "body")), strict=True):
+            unit = [x.view(np.int64) for x in unpack(units, 3)]
+            if kind == PASS:
+                a, index, b = (x.view(np.int64) for x in unpack(data, 3))
+                for held, x in ((who, unit[0][index]), (mark, unit[2][index]), (start, a), (end, b)):
+                    held.append(x)
+            else:
+                order, index, a, size = unpack(data, 4)
+                work.append([order, *(u[index.view(np.int64)] for u in unit), a.view(np.int64)])
+                cuts = np.concatenate(([0], np.cumsum(size.view(np.int64)))).tolist()
+                texts += [body[b:e] for b, e in zip(cuts, cuts[1:], strict=False)]
+        if work:
+            order, w, doc, m, s = (np.concatenate(c) for c in zip(*work, strict=True))
+            mine = np.argsort(order, kind="stable")
+            order = order[mine]
+            total, at = np.cumsum([len(texts[i]) for i in mine]), 0
             while at < len(mine):
                 to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SHARD_BYTES, "right")))
-                to = int(np.searchsorted(keys, keys[to - 1], "right"))
-                piece, step = repeated(doc[mine[at:to]], body[at:to], length)
+                to = int(np.searchsorted(order, order[to - 1], "right"))
+                piece, step = repeated(doc[mine[at:to]], [texts[i] for i in mine[at:to]], length)
                 piece = mine[at + piece]
-                docs.append(doc[piece])
-                marks.append(mark[piece])
-                starts.append(start[piece] + step)
+                for held, x in ((who, w[piece]), (mark, m[piece]), (start, s[piece] + step), (end, s[piece] + step + length)):
+                    held.append(x)
                 at = to
-        doc, mark, start = np.concatenate(docs), np.concatenate(marks), np.concatenate(starts)
-        order = np.lexsort((start, mark, doc))
-        doc, mark, start = doc[order], mark[order], start[order]
-        new = firsts(doc, mark)
-        new[1:] |= start[1:] > start[:-1] + length
+        who, mark, start, end = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (who, mark, start, end))
+        by = np.lexsort((start, mark, who))
+        who, mark, start, end = who[by], mark[by], start[by], end[by]
+        new = firsts(who, mark)
+        group = np.cumsum(new) - 1
+        reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)  # the farthest end so far in the row
+        new[1:] |= start[1:] > reach[:-1]
         begin = np.flatnonzero(new)
         last = np.append(begin, len(start))[1:] - 1
-        return pa.table({"doc_id": doc[begin], "mark": mark[begin], "a": start[begin], "b": start[last] + length})
+        return pa.table({"who": who[begin], "mark": mark[begin], "a": start[begin], "b": reach[last]})
 
     return run
 
 
-def cut(text: bytes, lose: np.ndarray, spans: np.ndarray, length: int) -> tuple[list[tuple[int, int]], bytes]:
-    """Maximal removed runs and the bytes that stay: pieces whose key is in ``lose``, and the given intervals."""
-    begin, end = spans[:, 0], spans[:, 1]
-    if len(lose) and len(text) >= length:
-        a, s, n, k = pieces(np.frombuffer(text, np.uint8), length)
-        hit = np.isin(reply_key(a, k), lose)
-        begin, end = np.concatenate((begin, s[hit])), np.concatenate((end, (s + n + length - 1)[hit]))
-    if not len(begin):
+def cut(text: bytes, spans: np.ndarray) -> tuple[list[tuple[int, int]], bytes]:
+    """Maximal removed runs and the bytes that stay, of (n, 2) intervals."""
+    if not len(spans):
         return [], text
-    order = np.argsort(begin, kind="stable")
-    begin, reach = begin[order], np.maximum.accumulate(end[order])
-    new = np.concatenate(([True], begin[1:] > reach[:-1]))
-    first = np.flatnonzero(new)
+    order = np.argsort(spans[:, 0], kind="stable")
+    begin, reach = spans[order, 0], np.maximum.accumulate(spans[order, 1])
+    first = np.flatnonzero(np.concatenate(([True], begin[1:] > reach[:-1])))
     runs = list(zip(begin[first].tolist(), reach[np.append(first[1:], len(begin)) - 1].tolist(), strict=True))
     stays, at = [], 0
     for x, y in runs:
@@ -438,18 +421,17 @@ def cut(text: bytes, lose: np.ndarray, spans: np.ndarray, length: int) -> tuple[
     return runs, b"".join([*stays, text[at:]])
 
 
-def _apply(length: int, digests: bool):
+def _apply(digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros((0, 2), np.int64)
         for rows in blocks(batches):
             out = []
-            for doc, text, mark, lose, m, a, b, _ in rows:
+            for doc, text, mark, m, a, b in rows:
                 spans = np.stack([np.asarray(a.values), np.asarray(b.values)], axis=1)[np.asarray(m.values) == mark.as_py()] if a.is_valid and len(a) else none
-                runs, kept = cut(text, np.asarray(lose.values) if lose.is_valid and len(lose) else none[:, 0], spans, length)
+                runs, kept = cut(text, spans)
                 out.append((doc, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digests else kept, [x for x, _ in runs], [y for _, y in runs]))
             c = list(zip(*out, strict=True))
-            nulled = pa.array([None if row[-1].as_py() else d for row, d in zip(rows, c[0], strict=True)], pa.int64())
-            arrays = [nulled, *(pa.array(x, pa.int64()) for x in c[1:4])]
+            arrays = [pa.array(x, pa.int64()) for x in c[:4]]
             if digests:
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(c[4])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             else:
@@ -462,17 +444,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """(doc_id, n_bytes, n_removed, n_spans) and kept bytes with the removed runs, or with ``digests`` their SHA-256."""
     spark = docs.sparkSession
     bound_batches(spark)
-    plain = F.col(id_col).cast("long")
-    rows = docs.select(F.coalesce(plain, F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), plain.isNull().alias("no_id")).withColumn("mark", F.xxhash64("text"))
-    reports = rows.select("doc_id", "text").mapInArrow(_report(length, partitions(spark, 4)), "bucket int, kind int, data binary")
-    verdicts = reports.groupBy("bucket").applyInArrow(_judge, "doc_id long, key long, action byte")
-    pick = lambda action: F.collect_list(F.when(F.col("action") == action, F.col("key")))
-    by_doc = verdicts.groupBy("doc_id").agg(pick(REMOVE).alias("lose"), pick(SEND).alias("send"), pick(SPLIT).alias("split"))
-    told = rows.join(by_doc, "doc_id", "left")
-    # All that read ``told`` take the same columns and join on the id alone, so its texts are shuffled once.
-    sent = told.select("doc_id", "text", "mark", "send", "split", "no_id").mapInArrow(_send(length, partitions(spark, 4)), "shard int, order long, doc_id long, mark long, start long, body binary")
-    spans = sent.groupBy("shard").applyInArrow(_sort_shard(length), "doc_id long, mark long, a long, b long")
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "a", "b")).alias("s")).select("doc_id", F.col("s.mark").alias("m"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    full = told.join(spans, "doc_id", "left").select("doc_id", "text", "mark", "lose", "m", "a", "b", "no_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("rank"), F.xxhash64("text").alias("mark"), F.xxhash64("doc_id", F.lit("row"), "text").alias("who"))
+    reports = rows.select("who", "text").mapInArrow(_report(length, partitions(spark)), "bucket int, kind int, units binary, data binary")
+    verdicts = reports.groupBy("bucket").applyInArrow(_judge, "who long, anchor long, split boolean")
+    pick = lambda split: F.collect_list(F.when(F.col("split") == split, F.col("anchor")))
+    by_row = verdicts.groupBy("who").agg(pick(False).alias("send"), pick(True).alias("split"))
+    told = rows.join(by_row, "who", "left")
+    # All that read ``told`` join on ``who`` alone and take the same columns, so its texts are shuffled once.
+    sent = told.select("who", "text", "rank", "mark", "send", "split", "doc_id").select("who", "text", "rank", "mark", "send", "split").mapInArrow(_send(length, partitions(spark, 2)), "shard int, kind int, units binary, data binary, body binary")
+    spans = sent.groupBy("shard").applyInArrow(_sort_shard(length), "who long, mark long, a long, b long")
+    spans = spans.groupBy("who").agg(F.collect_list(F.struct("mark", "a", "b")).alias("s")).select("who", F.col("s.mark").alias("m"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    full = told.join(spans, "who", "left").select("doc_id", "text", "mark", "m", "a", "b")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "kept binary, begins array<long>, ends array<long>")
-    return full.mapInArrow(_apply(length, digests), schema)
+    return full.mapInArrow(_apply(digests), schema)

@@ -183,29 +183,28 @@ def test_suffix_dedup_is_brute_force(docs, crowded, corpus):
 
 def in_process(rows, length):
     """All stages without Spark, so that the limits can be set for a test."""
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "text"])
-    buckets, shards, verdict, spans = {}, {}, {}, {}
-    for out in suffixdedup._report(length, 3)(iter([batch])):
+    whos = list(range(1000, 1000 + len(rows)))
+    text = pa.array([r[1] for r in rows], pa.string())
+    buckets, shards, told, spans = {}, {}, {}, {}
+    for out in suffixdedup._report(length, 3)(iter([pa.RecordBatch.from_arrays([pa.array(whos, pa.int64()), text], ["who", "text"])])):
         for r in out.to_pylist():
             buckets.setdefault(r["bucket"], []).append(r)
     for held in buckets.values():
         for r in suffixdedup._judge(pa.Table.from_pylist(held)).to_pylist():
-            verdict.setdefault((r["doc_id"], r["action"]), []).append(r["key"])
-    keys = lambda a: pa.array([verdict.get((r[0], a)) for r in rows], pa.list_(pa.int64()))
-    marks = pa.array(range(len(rows)), pa.int64())
-    told = pa.RecordBatch.from_arrays([*batch.columns, marks, keys(1), keys(2), pa.array([False] * len(rows))], ["d", "t", "m", "send", "split", "n"])
-    for out in suffixdedup._send(length, 3)(iter([told])):
+            told.setdefault((r["who"], r["split"]), []).append(r["anchor"])
+    keys = lambda split: pa.array([told.get((w, split)) for w in whos], pa.list_(pa.int64()))
+    columns = [pa.array(whos, pa.int64()), text, pa.array([r[0] for r in rows], pa.int64()), pa.array([-w for w in whos], pa.int64()), keys(False), keys(True)]
+    for out in suffixdedup._send(length, 3)(iter([pa.RecordBatch.from_arrays(columns, ["who", "text", "rank", "mark", "send", "split"])])):
         for r in out.to_pylist():
             shards.setdefault(r["shard"], []).append(r)
-    schema = pa.schema([("shard", pa.int32()), ("order", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("body", pa.binary())])
     for held in shards.values():
-        for r in suffixdedup._sort_shard(length)(pa.Table.from_pylist(held, schema=schema)).to_pylist():
-            spans.setdefault(r["mark"], []).append((r["a"], r["b"]))
+        for r in suffixdedup._sort_shard(length)(pa.Table.from_pylist(held)).to_pylist():
+            assert r["mark"] == -r["who"]
+            spans.setdefault(r["who"], []).append((r["a"], r["b"]))
     out = []
-    for i, r in enumerate(rows):
+    for w, r in zip(whos, rows, strict=True):
         b = (r[1] or "").encode()
-        cut = np.array(spans.get(i, []), np.int64).reshape(-1, 2)
-        runs, kept = suffixdedup.cut(b, np.array(verdict.get((r[0], 0), []), np.int64), cut, length)
+        runs, kept = suffixdedup.cut(b, np.array(spans.get(w, []), np.int64).reshape(-1, 2))
         out.append((r[0], len(b), len(b) - len(kept), len(runs), sha(kept)))
     return sorted(out, key=repr)
 
@@ -221,6 +220,27 @@ def test_suffix_dedup_with_any_limits(monkeypatch, corpus, crowd, block, stretch
     assert in_process(rows, 50) == plain_repeats(rows, 50)
 
 
+def test_suffix_dedup_decides_by_bytes(monkeypatch, corpus):
+    """With hashes that hardly tell anything apart, more windows meet and the result is the same."""
+    hashes = suffixdedup.substring_hashes
+    monkeypatch.setattr(suffixdedup, "substring_hashes", lambda data, size: hashes(data, size) & np.uint64(0xFF))
+    rows = [(n, *r[1:]) for n, r in enumerate(dict.fromkeys(r for r in corpus if r[0] is not None))]
+    assert in_process(rows, 50) == plain_repeats(rows, 50)
+
+
+def test_suffix_dedup_of_many_rows_without_an_id(spark):
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdef ") for _ in range(80))
+    rows = [(None if i % 3 else 7 + i % 2, "".join(rng.choice("abcdef ") for _ in range(60)) + shared * (i % 2)) for i in range(300)] + [(3, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(suffixdedup.remove_repeats(df, digests=True)) == plain_repeats(rows, 50)
+
+
+def test_common_prefixes():
+    text = np.frombuffer(b"abcabcabd" + b"\xff" * 5, np.uint8)
+    assert suffixdedup.common_prefixes(text, np.array([0, 3, 6, 1]), 4).tolist() == [0, 4, 2, 0]
+
+
 def test_two_stage_suffix_array():
     rng = np.random.default_rng(1)
     for _ in range(150):
