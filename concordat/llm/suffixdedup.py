@@ -108,14 +108,22 @@ def _stretch(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return mixed(low[start]), start, size  # minima crowd near 0, so anchors are mixed once more
 
 
+def shrink(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def grow(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """64-bit columns one after the other, the first as differences, bytes of one place together: so they compress."""
     first = np.diff(columns[0].view(np.uint64), prepend=U(0))
-    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in (first, *columns[1:]))
+    return shrink(b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in (first, *columns[1:])))
 
 
 def unpack(data: bytes, count: int) -> list[np.ndarray]:
-    out = [np.ascontiguousarray(c.reshape(8, -1).T).view(np.uint64).reshape(-1) for c in np.frombuffer(data, np.uint8).reshape(count, -1)]
+    out = [np.ascontiguousarray(c.reshape(8, -1).T).view(np.uint64).reshape(-1) for c in np.frombuffer(grow(data), np.uint8).reshape(count, -1)]
     return [np.cumsum(out[0]), *out[1:]]
 
 
@@ -238,7 +246,7 @@ def _send(length: int, shards: int):
             for who, text, doc, mark, send, split in rows:
                 if len(text) < length or not (send.is_valid and len(send) or split.is_valid and len(split)):
                     continue
-                units.append((who, doc.as_py(), mark.as_py()))
+                units.append((who, doc.as_py() if doc.is_valid else LAST_ID, mark.as_py()))
                 anchor, start, size = pieces(np.frombuffer(text, np.uint8), length)
                 wanted = lambda x: np.flatnonzero(np.isin(anchor, np.asarray(x.values).view(np.uint64))) if x.is_valid and len(x) else ()  # noqa: B023, E731
                 for i in wanted(send):
@@ -255,7 +263,7 @@ def _send(length: int, shards: int):
                 for home, at in _homes(mixed(order), order, shards):
                     used, index = np.unique(unit[at], return_inverse=True)
                     body = [sent[i][3] for i in at]
-                    out.append((home, WORK, pack(*every[used].T), pack(order[at], index.astype(np.int64), start[at], np.array([len(b) for b in body])), b"".join(body)))
+                    out.append((home, WORK, pack(*every[used].T), pack(order[at], index.astype(np.int64), start[at], np.array([len(b) for b in body])), shrink(b"".join(body))))
             if done:
                 unit, start, end = np.array(done, np.int64).T
                 who = every[unit, 0].view(np.uint64)
@@ -378,6 +386,7 @@ def _sort_shard(length: int):
                 order, index, a, size = unpack(data, 4)
                 work.append([order, *(u[index.view(np.int64)] for u in unit), a.view(np.int64)])
                 cuts = np.concatenate(([0], np.cumsum(size.view(np.int64)))).tolist()
+                body = grow(body)
                 texts += [body[b:e] for b, e in zip(cuts, cuts[1:], strict=False)]
         if work:
             order, w, doc, m, s = (np.concatenate(c) for c in zip(*work, strict=True))
@@ -445,16 +454,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("rank"), F.xxhash64("text").alias("mark"), F.xxhash64("doc_id", F.lit("row"), "text").alias("who"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.xxhash64("doc_id", F.lit("row"), "text").alias("who"))
     reports = rows.select("who", "text").mapInArrow(_report(length, partitions(spark)), "bucket int, kind int, units binary, data binary")
     verdicts = reports.groupBy("bucket").applyInArrow(_judge, "who long, anchor long, split boolean")
     pick = lambda split: F.collect_list(F.when(F.col("split") == split, F.col("anchor")))
     by_row = verdicts.groupBy("who").agg(pick(False).alias("send"), pick(True).alias("split"))
     told = rows.join(by_row, "who", "left")
-    # All that read ``told`` join on ``who`` alone and take the same columns, so its texts are shuffled once.
-    sent = told.select("who", "text", "rank", "mark", "send", "split", "doc_id").select("who", "text", "rank", "mark", "send", "split").mapInArrow(_send(length, partitions(spark, 2)), "shard int, kind int, units binary, data binary, body binary")
+    # Both joins take the same columns of ``rows`` by ``who`` alone, so the texts are shuffled once.
+    sent = told.select("who", "text", "doc_id", "mark", "send", "split").mapInArrow(_send(length, partitions(spark, 2)), "shard int, kind int, units binary, data binary, body binary")
     spans = sent.groupBy("shard").applyInArrow(_sort_shard(length), "who long, mark long, a long, b long")
     spans = spans.groupBy("who").agg(F.collect_list(F.struct("mark", "a", "b")).alias("s")).select("who", F.col("s.mark").alias("m"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    full = told.join(spans, "who", "left").select("doc_id", "text", "mark", "m", "a", "b")
+    full = rows.join(spans, "who", "left").select("doc_id", "text", "mark", "m", "a", "b")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "kept binary, begins array<long>, ends array<long>")
     return full.mapInArrow(_apply(digests), schema)
