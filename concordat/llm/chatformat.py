@@ -29,6 +29,7 @@ TEMPLATE = {"system": ("<<SYS>>", "<</SYS>>\n"), "user": ("[INST] ", " [/INST]\n
 OTHER = ("<|", "|>", "<|end|>\n")
 LEARNED = "assistant"
 CHUNK = 1 << 22
+SLICE = 1 << 26
 SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int64())])))])
 
 
@@ -41,7 +42,7 @@ def escape(texts: pa.Array) -> pa.Array:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+    return text if "\\" not in text else re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
 def _bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +102,19 @@ def assemble(conv_ids: pa.Array, turns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([conv_ids, formatted, pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), spans)], schema=SCHEMA)
 
 
+def slices(turns: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of conversations with about ``size`` bytes of text, 500 at most; a larger one stands alone."""
+    counts = np.asarray(pc.fill_null(pc.list_value_length(turns), 0)).astype(np.int64)
+    text = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(pc.list_flatten(turns).field("text")), 0)))))
+    ends = text[np.cumsum(counts)] if len(counts) else counts
+    at = 0
+    while at < len(counts):
+        base = ends[at - 1] if at else 0
+        to = min(at + 500, max(at + 1, int(np.searchsorted(ends, base + size, "right"))))
+        yield at, to
+        at = to
+
+
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, formatted, loss_spans): spans are byte offsets and lengths in the UTF-8 of ``formatted``."""
     bound_batches(rows.sparkSession)
@@ -109,14 +123,17 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at, to in slices(batch.column(1)):
+                part = batch.slice(at, to - at)
                 yield assemble(part.column(0), part.column(1))
 
     return grouped.mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start: long, len: long>>")
 
 
-_HEAD = re.compile(r"(<<SYS>>|\[INST\] |<s>|<\|((?:\\.|[^\\|])*)\|>)((?:\\.|[^\\<\[])*)(<</SYS>>\n| \[/INST\]\n|</s>\n|<\|end\|>\n)", re.DOTALL)
+#: A header, and a text up to its footer. Runs never give back what they took, so both are linear and keep no stack;
+#: the blank before ``[/INST]`` is taken with the text.
+_HEAD = re.compile(r"<<SYS>>|\[INST\] |<s>|<\|((?:[^\\|]++|\\.)*+)\|>", re.DOTALL)
+_TEXT = re.compile(r"((?:[^\\<\[]++|\\.)*+)(<</SYS>>\n|\[/INST\]\n|</s>\n|<\|end\|>\n)", re.DOTALL)
 _ROLES = {head: role for role, (head, _) in TEMPLATE.items()}
 
 
@@ -124,16 +141,16 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn, read back from the formatted text."""
     out, at = [], 0
     while at < len(formatted):
-        m = _HEAD.match(formatted, at)
-        if not m:
+        head = _HEAD.match(formatted, at)
+        body = head and _TEXT.match(formatted, head.end())
+        if not body:
             raise ValueError(f"not a turn at {at}")
-        head, role, text, foot = m.groups()
-        if head == "[INST] " and foot == " [/INST]\n" or head in _ROLES:
-            role = _ROLES[head]
-        else:
-            role = unescape(role)
-        out.append((role, unescape(text)))
-        at = m.end()
+        role = _ROLES.get(head[0])
+        text = body[1]
+        if (OTHER[2] if role is None else TEMPLATE[role][1].lstrip(" ")) != body[2] or role == "user" and not text.endswith(" "):
+            raise ValueError(f"a footer of another role at {at}")
+        out.append((unescape(head[1]) if role is None else role, unescape(text[:-1] if role == "user" else text)))
+        at = body.end()
     return out
 
 

@@ -48,6 +48,26 @@ def test_scatter_in_small_chunks(monkeypatch):
     assert whole[0].equals(again) and chatformat.parse(again.column(1)[0].as_py()) == [("user", "abc" * 9), ("assistant", "<é"), ("odd", "")]
 
 
+def test_chats_in_slices():
+    kind = pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+    turns = pa.array([[{"turn": 1, "role": "user", "text": "x" * n}] * k for n, k in ((5, 1), (0, 3), (40, 2), (3, 0), (9, 1))] + [None], kind)
+    assert list(chatformat.slices(turns, 20)) == [(0, 2), (2, 3), (3, 6)] and list(chatformat.slices(turns[:0])) == []
+
+
+def test_long_turn_reads_back_in_bounded_memory():
+    import resource
+
+    text = "some [words] <s> \\ of a very long turn é " * 500_000  # 20 million characters
+    kind = pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+    made = chatformat.assemble(pa.array([1]), pa.array([[{"turn": 1, "role": "user", "text": text}, {"turn": 2, "role": "assistant", "text": " "}]], kind))
+    formatted = made.column(1)[0].as_py()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert chatformat.parse(formatted) == [("user", text), ("assistant", " ")]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    with pytest.raises(ValueError):
+        chatformat.parse("[INST] a</s>\n")
+
+
 def test_chats_empty(spark):
     assert chatformat.digests(chatformat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
 
