@@ -88,7 +88,7 @@ def resolve_manually(states: DataFrame, drives: DataFrame, choices: DataFrame) -
     """The next states after ``choices`` (path, winner): the winner's row on every drive, with all vectors merged and
     the winner's clock one up. A choice whose winner lacks the path changes nothing."""
     vectors = by_path(states).select("path", vv.merge_all(F.transform("vs", lambda v: v["m"])).alias("m"))
-    won = choices.join(states, (choices["path"] == states["path"]) & (choices["winner"] == states["drive_id"])).select(states["*"])
+    won = states.join(choices.select("path", F.col("winner").alias("drive_id")), ["drive_id", "path"]).select(*states.columns)
     won = won.join(vectors, "path").withColumn("version_vector", vv.to_json(vv.increment(F.col("m"), F.col("drive_id")))).drop("m", "drive_id")
     new = won.crossJoin(F.broadcast(drives.select("drive_id")))  # the registry: one row a drive
     return merge(states, new)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +15,53 @@ from ..sources.manifest import KEY, mark_deleted, merge
 
 
 def files(spark: SparkSession, root: str, drive: str) -> DataFrame:
-    """Listing of a folder: (drive_id, path, size, mtime, content), paths relative with forward slashes."""
+    """Listing of a folder: (drive_id, path, size, mtime, uri, content), paths relative with forward slashes.
+
+    ``content`` is read only by plans that use it, and then of every file; ``contents`` reads what it must.
+    """
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     name = F.regexp_replace("path", "^(file:)?/*" + base.removeprefix("file:").strip("/") + "/+", "")
-    return found.select(F.lit(drive).alias("drive_id"), name.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), "content")
+    return found.select(F.lit(drive).alias("drive_id"), name.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), F.col("path").alias("uri"), "content")
+
+
+def local_path(uri: str) -> str:
+    """A file's path on the machine; drives are folders that every executor has mounted."""
+    if "://" in uri and not uri.startswith("file://"):
+        raise OSError(f"not a mounted folder: {uri}")
+    return "/" + uri.removeprefix("file:").lstrip("/")
+
+
+def digest_file(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def read_hashes(listing: DataFrame) -> DataFrame:
+    """(drive_id, path, actual, reason): files are read in the tasks, piece by piece and of any size. One that cannot
+    be read has no hash but a reason, ``hash:`` and the error, and the others go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column(2).to_pylist():
+                try:
+                    found.append((digest_file(local_path(uri)), None))
+                except OSError as error:
+                    found.append((None, f"hash: {error.strerror or error}"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i] for x in found], pa.string()) for i in (0, 1))], ["drive_id", "path", "actual", "reason"])
+
+    return listing.select(*KEY, "uri").mapInArrow(run, "drive_id string, path string, actual string, reason string")
+
+
+def contents(listing: DataFrame, states: DataFrame) -> DataFrame:
+    """(drive_id, path, size, mtime, content_hash, reason) of the visible files: the cached hash where size and time are
+    unchanged, and of the others, and of no more files, the hash of what is read."""
+    found = cached(visible(listing.select(*KEY, "size", "mtime", "uri")), states)
+    hits = found.filter("cached_hash is not null").select(*KEY, "size", "mtime", F.col("cached_hash").alias("content_hash"), F.lit(None).cast("string").alias("reason"))
+    misses = found.filter("cached_hash is null")
+    read = misses.select(*KEY, "size", "mtime").join(read_hashes(misses), KEY)
+    return hits.unionByName(read.select(*KEY, "size", "mtime", F.col("actual").alias("content_hash"), "reason"))
 
 
 def visible(listing: DataFrame) -> DataFrame:

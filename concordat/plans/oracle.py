@@ -170,17 +170,20 @@ def oracle_sql() -> dict[str, str]:
     return {
         "drive_status": sel(body="SELECT d.drive_id, count(f.path) AS n_files, CAST(coalesce(sum(f.size), 0) AS BIGINT) AS total_size FROM drives d LEFT JOIN fs f ON f.drive_id = d.drive_id AND NOT f.tombstone GROUP BY d.drive_id"),
         "drive_register": f"SELECT * FROM (VALUES ('drive_a', CAST({BASE_TIME} AS BIGINT)), ('drive_b', {NOW}), ('drive_c', {NOW + 1}), ('drive_z', {NOW})) t(drive_id, last_seen)",
-        "manifest_lookup": sel(body=f"SELECT {COLS} FROM fs WHERE path IN (SELECT path FROM docs WHERE doc_id % 10 = 0)"),
+        "manifest_lookup": sel(body=f"SELECT {COLS} FROM fs WHERE path IN (SELECT path FROM docs UNION ALL SELECT path || '.absent' FROM docs)"),
         "manifest_upsert": sel("new AS (SELECT 'drive_b' AS drive_id, path, hash, size, mtime + 1 AS mtime, version_vector, tombstone, corrupted, inode FROM fs WHERE drive_id = 'drive_a')", body=f"SELECT * FROM new UNION ALL SELECT {COLS} FROM fs WHERE drive_id <> 'drive_b' OR path NOT IN (SELECT path FROM new)"),
         "vv_compare": sel(body=f"SELECT x.path, x.drive_id, y.drive_id AS other, CASE WHEN {_conc('x', 'y')} THEN 'CONCURRENT' WHEN {_ahead('x', 'y')} THEN 'DOMINATES' WHEN {_ahead('y', 'x')} THEN 'DOMINATED_BY' ELSE 'EQUAL' END AS ordering FROM fs x JOIN fs y USING (path)"),
         "vv_merge": sel(body=f"SELECT x.path, x.drive_id, y.drive_id AS other, {_json('greatest(x.a, y.a)', 'greatest(x.b, y.b)', 'greatest(x.c, y.c)')} AS merged FROM fs x JOIN fs y USING (path)"),
         "vv_increment": sel("up AS (SELECT *, a + CAST(drive_id = 'drive_a' AS BIGINT) AS na, b + CAST(drive_id = 'drive_b' AS BIGINT) AS nb, c + CAST(drive_id = 'drive_c' AS BIGINT) AS nc FROM fs)", body=f"SELECT path, drive_id, {_json('na', 'nb', 'nc')} AS next, CASE drive_id WHEN 'drive_a' THEN a WHEN 'drive_b' THEN b ELSE c END AS clock FROM up"),
         "vv_canonical_json": sel(body="""SELECT path, drive_id, CASE WHEN version_vector = '{}' THEN '{}' ELSE version_vector[:length(version_vector) - 1] || ',"z\\"k\\\\":3}' END AS canonical FROM fs"""),
+        "vv_malformed": sel("""f(drive_id, path, form, t) AS (SELECT drive_id, path, 0, version_vector FROM fs UNION ALL SELECT drive_id, path, 1, version_vector[:length(version_vector) - 1] FROM fs
+  UNION ALL SELECT drive_id, path, 2, replace(version_vector, ':', ':-') FROM fs UNION ALL SELECT drive_id, path, 3, replace(version_vector, ':', ':"x",') FROM fs UNION ALL SELECT drive_id, path, 4, '[' || version_vector || ']' FROM fs)""",
+            body="""SELECT drive_id, path, form, CASE WHEN NOT json_valid(t) THEN true ELSE json_type(t) <> 'OBJECT' OR contains(CAST(list_transform(json_keys(t), lambda k: json_type(t, '$."' || k || '"') <> 'UBIGINT') AS VARCHAR), 'true') END AS malformed FROM f"""),
         "detect_conflicts": sel(_conflicts(), body="SELECT path, string_agg(drive_id, ',' ORDER BY drive_id) AS drives, count(*) AS n_versions, 'MANUAL_RESOLUTION' AS recommended_strategy FROM cv GROUP BY path"),
         "resolve_conflicts": sel(_resolve(), body="SELECT * FROM res"),
         "quorum_vote": sel(body="SELECT path, hash, count(*) AS votes, min(drive_id) AS first_drive FROM fs WHERE NOT tombstone GROUP BY path, hash HAVING count(*) * 2 > (SELECT count(*) FROM drives)"),
         "last_write_wins": sel(body="SELECT path, drive_id AS winner, mtime FROM fs WHERE mtime > 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC, drive_id) = 1"),
-        "manual_resolve": sel(f"v AS (SELECT path, max(a) AS ma, max(b) + 1 AS mb, max(c) AS mc FROM fs GROUP BY path), won AS (SELECT d.drive_id, f.path, hash, size, mtime, {_json('ma', 'mb', 'mc')} AS version_vector, tombstone, corrupted, inode FROM fs f JOIN v USING (path) CROSS JOIN drives d WHERE f.drive_id = 'drive_b' AND f.path IN (SELECT path FROM docs WHERE k IN (5, 7)))", body=f"SELECT * FROM won UNION ALL SELECT {COLS} FROM fs WHERE path NOT IN (SELECT path FROM won)"),
+        "manual_resolve": sel(_conflicts(), f"v AS (SELECT path, max(a) AS ma, max(b) + 1 AS mb, max(c) AS mc FROM fs GROUP BY path), won AS (SELECT d.drive_id, f.path, hash, size, mtime, {_json('ma', 'mb', 'mc')} AS version_vector, tombstone, corrupted, inode FROM fs f JOIN v USING (path) CROSS JOIN drives d WHERE f.drive_id = 'drive_b' AND f.path IN (SELECT path FROM pairs))", body=f"SELECT * FROM won UNION ALL SELECT {COLS} FROM fs WHERE path NOT IN (SELECT path FROM won)"),
         "hidden_filter": sel(_LISTING, body="SELECT drive_id, path, size, mtime FROM visible"),
         "hash_cache": sel(_LISTING, body="SELECT * FROM hashed"),
         "scan_manifest": sel(_LISTING, body=f"SELECT h.drive_id, h.path, h.hash, h.size, h.mtime, coalesce(f.version_vector, '{{}}') AS version_vector, false AS tombstone, coalesce(f.corrupted, false) AS corrupted, f.inode FROM hashed h LEFT JOIN fs f ON f.drive_id = h.drive_id AND f.path = h.path UNION ALL {_TOMBED} UNION ALL SELECT {COLS} FROM fs f WHERE drive_id <> 'drive_b' OR (tombstone AND NOT EXISTS (SELECT 1 FROM visible v WHERE v.path = f.path))"),
@@ -216,8 +219,8 @@ same AS (SELECT x.path FROM nodes x JOIN nodes y USING (path) WHERE x.drive_id =
 CAST(CASE WHEN n = 0 THEN 1 ELSE greatest(1, round(ceil(-n * ln(p) / (ln(2) * ln(2))) / n * ln(2))) END AS BIGINT) AS hashes, CAST(ceil(CASE WHEN n = 0 THEN 1 ELSE ceil(-n * ln(p) / (ln(2) * ln(2))) END / 8) AS BIGINT) AS bytes
 FROM (VALUES (0), (1), (500), (1000), (1000000)) a(n), (VALUES (0.001), (0.01), (0.05)) b(p)""",
         "bloom_membership": sel(f"""
-z AS (SELECT CAST(ceil(-count(*) * ln({BLOOM_RATE}) / (ln(2) * ln(2))) AS BIGINT) AS m, count(*) AS n FROM docs WHERE doc_id % 2 = 0),
+z AS (SELECT CAST(ceil(-count(*) * ln({BLOOM_RATE}) / (ln(2) * ln(2))) AS BIGINT) AS m, count(*) AS n FROM fs WHERE drive_id = 'drive_c'),
 seeds AS (SELECT i, m, CAST(xor(CAST(14695981039346656037 AS HUGEINT), CAST(i * 2654435761 AS HUGEINT)) AS HUGEINT) AS off FROM z, unnest(range(0, CAST(greatest(1, round(m / n * ln(2))) AS BIGINT))) AS t(i)),
-pos AS (SELECT doc_id, path, {fnv} % m AS p FROM docs, seeds),
-bits AS (SELECT DISTINCT p FROM pos WHERE doc_id % 2 = 0)""", body="SELECT path AS item, bool_and(bits.p IS NOT NULL) AS might_contain FROM pos LEFT JOIN bits USING (p) GROUP BY path"),
+pos AS (SELECT path, {fnv} % m AS p FROM (SELECT DISTINCT path FROM fs), seeds),
+bits AS (SELECT DISTINCT p FROM pos WHERE path IN (SELECT path FROM fs WHERE drive_id = 'drive_c'))""", body="SELECT path AS item, bool_and(bits.p IS NOT NULL) AS might_contain FROM pos LEFT JOIN bits USING (p) GROUP BY path"),
     }

@@ -54,8 +54,9 @@ def drive_register(s, d):
 
 @query
 def manifest_lookup(s, d):
-    keys = fx.documents(s, d).filter("doc_id % 10 = 0").select("path")
-    return manifest.lookup(fx.states(s, d), keys)
+    docs = fx.documents(s, d)
+    absent = docs.select(F.concat("path", F.lit(".absent")).alias("path"))
+    return manifest.lookup(fx.states(s, d), docs.select("path").unionByName(absent))
 
 
 @query
@@ -88,6 +89,14 @@ def vv_canonical_json(s, d):
     return fx.states(s, d).select("path", "drive_id", vv.to_json(vv.parse(text)).alias("canonical"))
 
 
+@query
+def vv_malformed(s, d):
+    """Each state's vector as it is and in damaged forms."""
+    damaged = [F.col("version_vector"), F.substring("version_vector", F.lit(1), F.char_length("version_vector") - 1), F.replace("version_vector", F.lit(":"), F.lit(":-")), F.replace("version_vector", F.lit(":"), F.lit(':"x",')), F.concat(F.lit("["), F.col("version_vector"), F.lit("]"))]
+    rows = fx.states(s, d).select("drive_id", "path", F.posexplode(F.array(*damaged)).alias("form", "text"))
+    return rows.select("drive_id", "path", "form", vv.malformed(F.col("text")).alias("malformed"))
+
+
 @query
 def detect_conflicts(s, d):
     return conflicts.detect(fx.states(s, d))
@@ -110,8 +119,9 @@ def last_write_wins(s, d):
 
 @query
 def manual_resolve(s, d):
-    choices = fx.documents(s, d).filter("k in (5, 7)").select("path", F.lit("drive_b").alias("winner"))
-    return conflicts.resolve_manually(fx.states(s, d), fx.drives(s), choices)
+    states = fx.states(s, d)
+    choices = conflicts.detect(states).select("path", F.lit("drive_b").alias("winner"))
+    return conflicts.resolve_manually(states, fx.drives(s), choices)
 
 
 @query
@@ -304,12 +314,12 @@ def bloom_sizing(s, d):
 
 @query
 def bloom_membership(s, d):
-    docs = fx.documents(s, d)
-    items = docs.filter("doc_id % 2 = 0").select("path")
+    states = fx.states(s, d)
+    items = states.filter("drive_id = 'drive_c'").select("path")
     bits, count = bloom.sizing(items.count(), BLOOM_RATE)
-    return bloom.might_contain(bloom.insert(items, "path", bits, count), docs, "path", bits, count)
+    return bloom.might_contain(bloom.insert(items, "path", bits, count), states.select("path").distinct(), "path", bits, count)
 
 
 def bloom_bits(s, d):
     """The sizes that bloom_membership uses."""
-    return bloom.sizing(fx.documents(s, d).filter("doc_id % 2 = 0").count(), BLOOM_RATE)
+    return bloom.sizing(fx.states(s, d).filter("drive_id = 'drive_c'").count(), BLOOM_RATE)

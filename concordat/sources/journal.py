@@ -48,13 +48,13 @@ class Journal:
         if self.path.exists() and self.path.stat().st_size >= self.rotation_size:
             self.path.rename(self.path.with_name(f"{self.path.stem}.{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}.{time.time_ns() % 10**9}{self.path.suffix}"))
         with self.path.open("a") as out:
-            out.write(f"{time.strftime('%Y-%m-%dT%H:%M:%SZ', time.gmtime())} [{level}] {message}\n")
+            out.write(f"[{time.strftime('%Y-%m-%dT%H:%M:%SZ', time.gmtime())}] [{level}] {message}\n")
         return True
 
 
 def progress_bar(done: int, total: int, operation: str, width: int = 30) -> str:
     """Percentage rounded down; an operation over 40 characters keeps its last 37."""
-    share = 100 * done // total if total else 100
-    filled = width * done // total if total else width
+    share = 100 * done // total if total else 0
+    filled = width * done // total if total else 0
     shown = operation if len(operation) <= 40 else "..." + operation[-37:]
     return f"[{'#' * filled}{'-' * (width - filled)}] {share}% ({done}/{total}) {shown}"

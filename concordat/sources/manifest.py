@@ -72,6 +72,18 @@ def update_last_seen(drives: DataFrame, drive: str, now: int) -> DataFrame:
     return drives.withColumn("last_seen", F.when(F.col("drive_id") == drive, F.lit(now).cast("long")).otherwise(F.col("last_seen")))
 
 
+def begin(log: DataFrame, ops: DataFrame, now: Column) -> DataFrame:
+    """Appends an open row for each of ``ops`` (seq, operation, path): ids go on after the greatest of the log."""
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))  # one row
+    new = ops.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("seq")).alias("id"), "operation", "path", now.cast("long").alias("timestamp"), F.lit(False).alias("completed"))
+    return log.unionByName(new)
+
+
+def node_hash(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Stored Merkle hashes of the asked (drive_id, path, level); an unknown node gives no row."""
+    return nodes.join(keys.select(*KEY, "level"), [*KEY, "level"], "left_semi").select(*KEY, "level", "hash")
+
+
 def complete(log: DataFrame, done: DataFrame) -> DataFrame:
     """Appends a completed row for each id of ``done``; ``latest`` reads the state."""
     return log.unionByName(log.join(done.select("id"), "id", "left_semi").withColumn("completed", F.lit(True)))
@@ -84,7 +96,8 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def incomplete(log: DataFrame) -> DataFrame:
-    return log.groupBy("id").agg(F.min("operation").alias("operation"), F.min("path").alias("path"), F.min("timestamp").alias("timestamp"), F.max("completed").alias("completed")).filter(~F.col("completed"))
+    """Open rows in the order of their ids."""
+    return log.groupBy("id").agg(F.min("operation").alias("operation"), F.min("path").alias("path"), F.min("timestamp").alias("timestamp"), F.max("completed").alias("completed")).filter(~F.col("completed")).orderBy("id")
 
 
 def with_retry(action: Callable[[], object], tries: int = 5, delay: float = 0.01, retry: tuple = (OSError,)) -> object:

@@ -50,9 +50,11 @@ def test_vectors(spark):
 
 def test_vector_text(spark):
     df = spark.createDataFrame([('{"b":2, "a\\"\\\\":1}',), (None,), ("{}",), ("{bad",), ('{"big":9223372036854775807}',)], "t string")
-    assert [r[0] for r in df.select(vv.to_json(vv.parse(F.col("t")))).collect()] == ['{"a\\"\\\\":1,"b":2}', "{}", "{}", None, '{"big":9223372036854775807}']
+    assert [r[0] for r in df.select(vv.to_json(vv.parse(F.col("t"), strict=False))).collect()] == ['{"a\\"\\\\":1,"b":2}', "{}", "{}", None, '{"big":9223372036854775807}']
     with pytest.raises(Exception, match="malformed version vector"):
-        df.select(vv.to_json(vv.parse(F.col("t"), strict=True))).collect()
+        df.select(vv.to_json(vv.parse(F.col("t")))).collect()
+    bad = spark.createDataFrame([(t,) for t in ('{"a":1', '{"a":-1}', '{"a":"x"}', '{"a":1.5}', '{"a":null}', "[1]", "nothing", "{}", '{"a":0}', None)], "t string")
+    assert [r[0] for r in bad.select(vv.malformed(F.col("t"))).collect()] == [True] * 7 + [False] * 3
     m = vv.parse(F.lit('{"a":1}'))
     assert df.limit(1).select(vv.to_json(vv.increment(m, F.lit("a"))), vv.to_json(vv.increment(m, F.lit("b"))), vv.clock(m, F.lit("a")), vv.clock(m, F.lit("z"))).first()[:] == ('{"a":2}', '{"a":1,"b":1}', 1, 0)
 
@@ -169,3 +171,13 @@ def test_empty_manifests(spark):
     won = conflicts.resolve(states, drives).select("path", "winner")
     assert planner.plan(states, drives, won).collect() == []
     assert conflicts.detect(states).collect() == [] and effects.apply(planner.plan(states, drives, won), states).collect() == []
+
+
+def test_no_plan_rests_on_a_malformed_vector(spark):
+    rows = [("a", "f", "h1", 1, 5, '{"a":1', False, False, None), ("b", "f", "h2", 1, 5, '{"b":1}', False, False, None)]
+    states = spark.createDataFrame(rows, manifest.STATES)
+    drives = spark.createDataFrame([("a", 1), ("b", 1)], manifest.DRIVES)
+    with pytest.raises(Exception, match="malformed version vector"):
+        conflicts.detect(states).collect()
+    with pytest.raises(Exception, match="malformed version vector"):
+        planner.plan(states, drives, None).collect()

@@ -204,6 +204,7 @@ def test_config_and_journal(tmp_path):
     assert not log.write("INFO", "quiet") and log.write("ERROR", journal.error("ctx", "m" * 40)) and log.write("ERROR", "next")
     assert len(list(tmp_path.glob("x*.log"))) == 2 and "[ctx]" not in log.path.read_text()
     assert journal.quorum("p", "h", ["a", "b"]) == "QUORUM_RESOLUTION path=p winning_hash=h voters=[a,b]"
+    assert journal.progress_bar(0, 0, "x").startswith("[") and " 0% (0/0) x" in journal.progress_bar(0, 0, "x") and log.path.read_text().startswith("[2")
     assert journal.progress_bar(1, 3, "x" * 50).endswith("33% (1/3) ..." + "x" * 37)
     assert isinstance(platform.detect_drives(), list)
     platform.set_permissions(str(file), dict.fromkeys(["owner_read", "owner_write", "others_exec"], True))
@@ -222,10 +223,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert "a: 2 files, 6 bytes" in capsys.readouterr().out
     assert run("verify", *drives) == 0
     assert run("sync", "--dry-run", "-v") == 0 and "REPLACE: 1" in capsys.readouterr().out
-    assert run("sync") == 0 and run("conflicts") == 0
-    states = cli.Store(spark, store[1]).states()
-    assert states.filter("drive_id = 'b'").count() == 2
+    assert run("sync") == 1 and (tmp_path / "b" / "f.txt").read_text() == "other"  # without folders nothing is done
+    assert run("sync", *drives) == 0 and run("conflicts") == 0
+    held = cli.Store(spark, store[1])
+    assert held.states().filter("drive_id = 'b'").count() == 2
+    assert (tmp_path / "b" / "f.txt").read_text() == "one" and (tmp_path / "b" / "d" / "g.txt").read_text() == "two"
+    assert manifest.incomplete(held.get("log")).isEmpty() and held.get("log").filter("operation = 'WRITE'").count() == 4
+    assert run("verify", "--drive", f"b=file://{tmp_path}/b") == 0
+    (tmp_path / "b" / "f.txt").write_text("torn")
     assert run("verify", "--drive", f"b=file://{tmp_path}/b") == 1
+    root = held.get("nodes").filter("drive_id = 'a' and path = '.'").select("drive_id", "path", "level")
+    assert manifest.node_hash(held.get("nodes"), root).count() == 1
     assert run("resolve", "f.txt", "zzz") == 1 and run("resolve", "f.txt", "b") == 0
     assert cli.main(["config", "--file", str(tmp_path / "c"), "--set", "log_level=debug"]) == 0 and config.load(tmp_path / "c").log_level == "DEBUG"
 
@@ -248,3 +256,50 @@ def test_entry_without_the_corpus_operators(tmp_path):
     code = "import sys; sys.modules['concordat.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'sync_plan' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False).returncode == 0
     assert np.__version__
+
+
+def test_a_scan_reads_only_what_it_must(spark, tmp_path):
+    for name in ("kept", "changed", "gone", ".hid"):
+        (tmp_path / name).write_text(name)
+    found = spark.createDataFrame(scan.files(spark, f"file://{tmp_path}", "a").drop("content").collect(), "drive_id string, path string, size long, mtime long, uri string")
+    kept = found.filter("path = 'kept'").first()
+    old = states(spark, ("a", "kept", "from the cache", kept["size"], kept["mtime"], "{}", False), ("a", "gone", "h", 4, 1, "{}", False))
+    (tmp_path / "gone").unlink()  # after the listing
+    got = {r["path"]: (r["content_hash"], r["reason"]) for r in scan.contents(found, old).collect()}
+    assert got == {"kept": ("from the cache", None), "changed": (sha(b"changed"), None), "gone": (None, "hash: No such file or directory")}
+    plan = scan.contents(scan.files(spark, f"file://{tmp_path}", "a"), old)._jdf.queryExecution().executedPlan().toString()
+    assert "content#" not in plan.split("ReadSchema")[1].split("\n")[0] and "content:binary" not in plan
+    errors = scan.errors_of(scan.contents(found, old), F.col("reason"))
+    after = by_path(scan.scan(scan.contents(found, old).filter("reason is null"), old, F.lit(NOW), F.col("content_hash"), errors))
+    assert not after["gone"]["tombstone"] and after["changed"]["hash"] == sha(b"changed") and ".hid" not in after
+
+
+def test_files_follow_the_plan(spark, tmp_path):
+    for drive, files in (("a", {"f": "new", "d/e/g": "deep", "bad": "not as known"}), ("b", {"f": "old", "x": "moved", "dead": "bye"})):
+        for name, body in files.items():
+            (tmp_path / drive / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / drive / name).write_text(body)
+    (tmp_path / "a" / "f").chmod(0o640)
+    held = states(spark, ("a", "f", sha(b"new"), 3, 1, "{}", False), ("a", "d/e/g", sha(b"deep"), 4, 1, "{}", False), ("a", "bad", sha(b"other"), 5, 1, "{}", False))
+    ops = spark.createDataFrame([(1, "MKDIR", "", "b", "k/l", None), (2, "RENAME", "a", "b", "x", "y/x"), (3, "REPLACE", "a", "b", "f", None), (4, "COPY", "a", "b", "d/e/g", None), (5, "COPY", "a", "b", "bad", None), (6, "REMOVE", "a", "b", "dead", None), (7, "COPY", "a", "z", "f", None)], "seq long, type string, source_drive string, target_drive string, path string, new_path string")
+    roots = {d: str(tmp_path / d) for d in "ab"}
+    for _ in range(2):  # a task may run again
+        got = {r["seq"]: (r["ok"], r["bytes"]) for kinds in effects.PHASES for r in effects.transfer(ops, held, roots, kinds).collect()}
+        assert got == {1: (True, 0), 2: (True, 0), 3: (True, 3), 4: (True, 4), 5: (False, 0), 6: (True, 0), 7: (False, 0)}
+    b = tmp_path / "b"
+    assert {str(p.relative_to(b)): p.read_text() for p in b.rglob("*") if p.is_file()} == {"f": "new", "d/e/g": "deep", "y/x": "moved"}
+    assert (b / "k" / "l").is_dir() and (b / "f").stat().st_mode & 0o777 == 0o640
+
+
+def test_log_goes_on_and_rebuild_empties(spark, tmp_path):
+    ops = spark.createDataFrame([(1, "WRITE", "f"), (2, "REMOVE", "g")], "seq long, operation string, path string")
+    log = manifest.begin(manifest.begin(spark.createDataFrame([], manifest.LOG), ops, F.lit(NOW)), ops, F.lit(NOW))
+    assert [r["id"] for r in manifest.incomplete(log).collect()] == [1, 2, 3, 4]
+    store = cli.Store(spark, f"file://{tmp_path}/s")
+    store.put(log, "log")
+    (tmp_path / "s" / "log" / "1").mkdir()  # a torn snapshot
+    assert store.get("log").count() == 4
+    store.put(log.limit(1), "log")
+    assert store.get("log").count() == 1
+    store.rebuild()
+    assert store.get("log").count() == 0 and store.states().count() == 0
