@@ -4,14 +4,16 @@ Every byte covered by a string of ``length`` bytes that also starts in a documen
 
 1. Winnowing deals out the work. The anchor of a window of ``length`` bytes is the smallest hash of its substrings
    of ``ANCHOR`` bytes, so equal windows have equal anchors wherever they stand. A piece is a run of windows with
-   one anchor. Map tasks report (anchor, row) for each block of rows; a reducer of an anchor range tells the rows of
-   every anchor that more than one row has. Windows of other anchors stand in one row only.
-2. Each row sends the bytes of its pieces with shared anchors to the shard of the anchor. A shard concatenates its
+   one anchor. Map tasks report (anchor, text) for each block of rows; a reducer of an anchor range tells the texts
+   of every anchor that more than one text has. Windows of other anchors stand in one text only.
+2. Rows of one text lie together. Of those whose bytes are the same the smallest id of a block stands for all, and
+   the others lose everything on the spot. It sends the bytes of its pieces with shared anchors (of all its pieces,
+   if the text has copies) to the shard of the anchor. A shard concatenates its
    pieces and builds a suffix array in two stages: only suffixes smaller than their successors are sorted directly,
    the others are induced by scanning the buckets in order. Common prefixes of neighbours of at least ``length``
    bytes mark equal windows; every occurrence in a document above the smallest id is a removal. A piece whose very
    bytes the block has in a smaller id need not travel: it is a removal on the spot.
-3. Intervals are merged per row and cut out.
+3. Intervals are merged per text and id and cut out.
 
 So hashes say which windows meet; that they are equal is decided by their bytes alone.
 
@@ -20,8 +22,8 @@ does a reducer that sees over ``CROWD * 8``; the windows of crowded anchors trav
 window's hash, smallest id per block first. Nothing is dropped, capped or sampled.
 
 Null text is empty. Ids rank documents; rows with the same id are one document and never remove from each other, and a
-null id ranks after all others. Rows are known by a hash of id and text, so many rows of one id, or without one, make
-no group. Documents shorter than ``length`` keep everything. An empty table gives an empty result.
+null id ranks after all others. Texts are known by 128 bits, rows by these and the id, so many rows of one id, or
+without one, make no group, and all copies of a text share one entry. Documents shorter than ``length`` keep everything. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -163,7 +165,7 @@ def _homes(deal: np.ndarray, order: np.ndarray, count: int) -> Iterator[tuple[in
 
 
 def _report(length: int, buckets: int):
-    """Stage 1, map side: (bucket, kind, units, data) for each block of (who, text)."""
+    """Stage 1, map side: (bucket, kind, units, data) for each block of (mark, text)."""
 
     def packed(anchor: np.ndarray, who: np.ndarray, deal: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -196,7 +198,7 @@ def _report(length: int, buckets: int):
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """Stage 1, reducer of a bucket: (who, anchor, split) for the shared anchors of each row."""
+    """Stage 1, reducer of a bucket: (mark, anchor, split) for the shared anchors of each text."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORK: [], PASS: [], MARK: []}
     for kind, units, data in zip(*(table.column(c).to_pylist() for c in ("kind", "units", "data")), strict=True):
         anchor, unit = unpack(data, 2)
@@ -205,7 +207,7 @@ def _judge(table: pa.Table) -> pa.Table:
     anchor, who = (np.concatenate([x[i] for x in held[WORK]] or none) for i in (0, 1))
     order = np.lexsort((who, anchor))
     anchor, who = anchor[order], who[order]
-    new = firsts(anchor, who)  # a row may stand in several blocks
+    new = firsts(anchor, who)  # a text may stand in several blocks
     anchor, who = anchor[new], who[new]
     begin = np.flatnonzero(firsts(anchor))
     size = np.repeat(np.diff(np.append(begin, len(anchor))), np.diff(np.append(begin, len(anchor))))
@@ -213,7 +215,7 @@ def _judge(table: pa.Table) -> pa.Table:
     told = crowded | (size > 1)
     passed = [np.concatenate([x[i] for x in held[PASS]] or none) for i in (0, 1)]
     split = np.concatenate((crowded[told], np.ones(len(passed[0]), bool)))
-    return pa.table({"who": np.concatenate((who[told], passed[1])).view(np.int64), "anchor": np.concatenate((anchor[told], passed[0])).view(np.int64), "split": split})
+    return pa.table({"mark": np.concatenate((who[told], passed[1])).view(np.int64), "anchor": np.concatenate((anchor[told], passed[0])).view(np.int64), "split": split})
 
 
 def _send(length: int, shards: int):
@@ -243,18 +245,31 @@ def _send(length: int, shards: int):
                     seen[body] = len(sent)
                 sent.append((order, unit, start, body))
 
-            for who, text, doc, mark, send, split in rows:
-                if len(text) < length or not (send.is_valid and len(send) or split.is_valid and len(split)):
+            first: dict[bytes, tuple] = {}  # the smallest id of each text of the block
+            rules: set[tuple[int, int, int]] = set()
+            for mark, text, doc, wide, send, split, copied in rows:
+                if len(text) < length or not (send.is_valid and len(send) or split.is_valid and len(split) or copied.is_valid and copied.as_py()):
                     continue
-                units.append((who, doc.as_py() if doc.is_valid else LAST_ID, mark.as_py()))
+                mine = (mark, doc.as_py() if doc.is_valid else LAST_ID, wide.as_py(), send, split, copied)
+                held = first.setdefault(text, mine)
+                if held[1] != mine[1]:
+                    first[text] = min(held, mine, key=lambda x: x[1])
+                    rules.add((mark, first[text][1], mine[2]))
+            for text, (mark, doc, wide, send, split, copied) in first.items():
+                units.append((mark, doc, wide))
                 anchor, start, size = pieces(np.frombuffer(text, np.uint8), length)
-                wanted = lambda x: np.flatnonzero(np.isin(anchor, np.asarray(x.values).view(np.uint64))) if x.is_valid and len(x) else ()  # noqa: B023, E731
-                for i in wanted(send):
+                within = lambda x: np.isin(anchor, np.asarray(x.values).view(np.uint64)) if x.is_valid and len(x) else np.zeros(len(anchor), bool)  # noqa: B023, E731
+                apart = within(split)
+                whole = ~apart if copied.is_valid and copied.as_py() else within(send)
+                for i in np.flatnonzero(whole):
                     put(int(anchor[i]), int(start[i]), text[start[i] : start[i] + size[i] + length - 1])
-                for i in wanted(split):
+                for i in np.flatnonzero(apart):
                     for at in range(start[i], start[i] + size[i]):
                         window = text[at : at + length]
                         put(xxhash.xxh64_intdigest(window), int(at), window)
+            for mark, doc, wide in rules:  # larger ids of this text lose all of it
+                units.append((mark, doc, wide))
+                done.append((len(units) - 1, -1, -1))
             out = []
             every = np.array(units, np.int64).reshape(-1, 3)
             if sent:
@@ -370,18 +385,17 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, length: int) -> np.ndar
 
 
 def _sort_shard(length: int):
-    """Stage 2, reducer of a shard: (who, mark, a, b) intervals to remove."""
+    """Stage 2, reducer of a shard: (mark, doc, wide, a, b): intervals to remove, or -1 if larger ids lose all."""
 
     def run(table: pa.Table) -> pa.Table:
-        who, mark, start, end = [], [], [], []  # of removals
+        found: list[list[np.ndarray]] = []  # mark, doc, wide, start, end of removals
         work: list[list[np.ndarray]] = []
         texts: list[bytes] = []
         for kind, units, data, body in zip(*(table.column(c).to_pylist() for c in ("kind", "units", "data", "body")), strict=True):
             unit = [x.view(np.int64) for x in unpack(units, 3)]
             if kind == PASS:
                 a, index, b = (x.view(np.int64) for x in unpack(data, 3))
-                for held, x in ((who, unit[0][index]), (mark, unit[2][index]), (start, a), (end, b)):
-                    held.append(x)
+                found.append([*(u[index] for u in unit), a, b])
             else:
                 order, index, a, size = unpack(data, 4)
                 work.append([order, *(u[index.view(np.int64)] for u in unit), a.view(np.int64)])
@@ -389,7 +403,7 @@ def _sort_shard(length: int):
                 body = grow(body)
                 texts += [body[b:e] for b, e in zip(cuts, cuts[1:], strict=False)]
         if work:
-            order, w, doc, m, s = (np.concatenate(c) for c in zip(*work, strict=True))
+            order, mark, doc, wide, s = (np.concatenate(c) for c in zip(*work, strict=True))
             mine = np.argsort(order, kind="stable")
             order = order[mine]
             total, at = np.cumsum([len(texts[i]) for i in mine]), 0
@@ -398,19 +412,18 @@ def _sort_shard(length: int):
                 to = int(np.searchsorted(order, order[to - 1], "right"))
                 piece, step = repeated(doc[mine[at:to]], [texts[i] for i in mine[at:to]], length)
                 piece = mine[at + piece]
-                for held, x in ((who, w[piece]), (mark, m[piece]), (start, s[piece] + step), (end, s[piece] + step + length)):
-                    held.append(x)
+                found.append([mark[piece], doc[piece], wide[piece], s[piece] + step, s[piece] + step + length])
                 at = to
-        who, mark, start, end = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (who, mark, start, end))
-        by = np.lexsort((start, mark, who))
-        who, mark, start, end = who[by], mark[by], start[by], end[by]
-        new = firsts(who, mark)
+        mark, doc, wide, start, end = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
+        by = np.lexsort((start, doc, wide, mark))
+        mark, doc, wide, start, end = mark[by], doc[by], wide[by], start[by], end[by]
+        new = firsts(mark, doc, wide)
         group = np.cumsum(new) - 1
         reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)  # the farthest end so far in the row
-        new[1:] |= start[1:] > reach[:-1]
+        new[1:] |= (start[1:] > reach[:-1]) | (start[:-1] < 0)
         begin = np.flatnonzero(new)
         last = np.append(begin, len(start))[1:] - 1
-        return pa.table({"who": who[begin], "mark": mark[begin], "a": start[begin], "b": reach[last]})
+        return pa.table({"mark": mark[begin], "doc": doc[begin], "wide": wide[begin], "a": start[begin], "b": reach[last]})
 
     return run
 
@@ -430,13 +443,24 @@ def cut(text: bytes, spans: np.ndarray) -> tuple[list[tuple[int, int]], bytes]:
     return runs, b"".join([*stays, text[at:]])
 
 
-def _apply(digests: bool):
+def spans_of(size: int, doc: int, wide: int, entries: tuple[np.ndarray, ...], length: int) -> np.ndarray:
+    """The (n, 2) intervals that a row of ``size`` bytes loses by the ``entries`` (doc, wide, a, b) of its mark."""
+    docs, wides, a, b = entries
+    mine = wides == wide
+    if size >= length and (docs[mine & (a < 0)] < doc).any():
+        return np.array([[0, size]])
+    mine &= (docs == doc) & (a >= 0)
+    return np.stack([a[mine], b[mine]], axis=1)
+
+
+def _apply(length: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros((0, 2), np.int64)
         for rows in blocks(batches):
             out = []
-            for doc, text, mark, m, a, b in rows:
-                spans = np.stack([np.asarray(a.values), np.asarray(b.values)], axis=1)[np.asarray(m.values) == mark.as_py()] if a.is_valid and len(a) else none
+            for doc, text, wide, *entries in rows:
+                rank = LAST_ID if doc is None else doc
+                spans = spans_of(len(text), rank, wide.as_py(), tuple(np.asarray(e.values) for e in entries), length) if entries[0].is_valid and len(entries[0]) else none
                 runs, kept = cut(text, spans)
                 out.append((doc, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digests else kept, [x for x, _ in runs], [y for _, y in runs]))
             c = list(zip(*out, strict=True))
@@ -449,21 +473,31 @@ def _apply(digests: bool):
     return run
 
 
+def entries_of(spans: DataFrame) -> DataFrame:
+    """(mark, docs, wides, a, b): one row a mark. Where larger ids lose all, nothing else is kept of them."""
+    kept = spans.groupBy("mark").agg(F.min("wide").alias("lo"), F.max("wide").alias("hi"), F.min(F.when(F.col("a") < 0, F.col("doc"))).alias("first"), F.collect_list(F.struct("doc", "wide", "a", "b")).alias("s"))
+    rule = F.array(F.struct(F.col("first").alias("doc"), F.col("lo").alias("wide"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b")))
+    few = F.concat(rule, F.filter("s", lambda x: (x["a"] >= 0) & (x["doc"] <= F.col("first"))))
+    kept = kept.select("mark", F.when((F.col("lo") == F.col("hi")) & F.col("first").isNotNull(), few).otherwise(F.col("s")).alias("s"))
+    return kept.select("mark", *[F.col("s")[c].alias(n) for c, n in (("doc", "docs"), ("wide", "wides"), ("a", "a"), ("b", "b"))])
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans) and kept bytes with the removed runs, or with ``digests`` their SHA-256."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.xxhash64("doc_id", F.lit("row"), "text").alias("who"))
-    reports = rows.select("who", "text").mapInArrow(_report(length, partitions(spark)), "bucket int, kind int, units binary, data binary")
-    verdicts = reports.groupBy("bucket").applyInArrow(_judge, "who long, anchor long, split boolean")
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.xxhash64(F.lit("wide"), "text").alias("wide"))
+    reports = rows.select("mark", "text").mapInArrow(_report(length, partitions(spark)), "bucket int, kind int, units binary, data binary")
+    verdicts = reports.groupBy("bucket").applyInArrow(_judge, "mark long, anchor long, split boolean")
+    none = [F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("boolean").alias("split")]
+    copies = rows.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark", *none)
     pick = lambda split: F.collect_list(F.when(F.col("split") == split, F.col("anchor")))
-    by_row = verdicts.groupBy("who").agg(pick(False).alias("send"), pick(True).alias("split"))
-    told = rows.join(by_row, "who", "left")
-    # Both joins take the same columns of ``rows`` by ``who`` alone, so the texts are shuffled once.
-    sent = told.select("who", "text", "doc_id", "mark", "send", "split").mapInArrow(_send(length, partitions(spark, 2)), "shard int, kind int, units binary, data binary, body binary")
-    spans = sent.groupBy("shard").applyInArrow(_sort_shard(length), "who long, mark long, a long, b long")
-    spans = spans.groupBy("who").agg(F.collect_list(F.struct("mark", "a", "b")).alias("s")).select("who", F.col("s.mark").alias("m"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    full = rows.join(spans, "who", "left").select("doc_id", "text", "mark", "m", "a", "b")
+    by_text = verdicts.unionByName(copies).groupBy("mark").agg(pick(False).alias("send"), pick(True).alias("split"), F.max(F.col("anchor").isNull()).alias("copied"))
+    told = rows.join(by_text, "mark", "left")
+    # Both joins take the same columns of ``rows`` by ``mark`` alone, so the texts are shuffled once.
+    sent = told.select("mark", "text", "doc_id", "wide", "send", "split", "copied").mapInArrow(_send(length, partitions(spark, 2)), "shard int, kind int, units binary, data binary, body binary")
+    spans = sent.groupBy("shard").applyInArrow(_sort_shard(length), "mark long, doc long, wide long, a long, b long")
+    full = rows.join(entries_of(spans), "mark", "left").select("doc_id", "text", "wide", "docs", "wides", "a", "b")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "kept binary, begins array<long>, ends array<long>")
-    return full.mapInArrow(_apply(digests), schema)
+    return full.mapInArrow(_apply(length, digests), schema)

@@ -183,28 +183,31 @@ def test_suffix_dedup_is_brute_force(docs, crowded, corpus):
 
 def in_process(rows, length):
     """All stages without Spark, so that the limits can be set for a test."""
-    whos = list(range(1000, 1000 + len(rows)))
+    names = {t: 1000 + i for i, t in enumerate(dict.fromkeys(r[1] or "" for r in rows))}
+    marks = [names[r[1] or ""] for r in rows]
     text = pa.array([r[1] for r in rows], pa.string())
-    buckets, shards, told, spans = {}, {}, {}, {}
-    for out in suffixdedup._report(length, 3)(iter([pa.RecordBatch.from_arrays([pa.array(whos, pa.int64()), text], ["who", "text"])])):
+    buckets, shards, told, entries = {}, {}, {}, {}
+    for out in suffixdedup._report(length, 3)(iter([pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), text], ["mark", "text"])])):
         for r in out.to_pylist():
             buckets.setdefault(r["bucket"], []).append(r)
     for held in buckets.values():
         for r in suffixdedup._judge(pa.Table.from_pylist(held)).to_pylist():
-            told.setdefault((r["who"], r["split"]), []).append(r["anchor"])
-    keys = lambda split: pa.array([told.get((w, split)) for w in whos], pa.list_(pa.int64()))
-    columns = [pa.array(whos, pa.int64()), text, pa.array([r[0] for r in rows], pa.int64()), pa.array([-w for w in whos], pa.int64()), keys(False), keys(True)]
-    for out in suffixdedup._send(length, 3)(iter([pa.RecordBatch.from_arrays(columns, ["who", "text", "rank", "mark", "send", "split"])])):
+            told.setdefault((r["mark"], r["split"]), []).append(r["anchor"])
+    keys = lambda split: pa.array([told.get((m, split)) for m in marks], pa.list_(pa.int64()))
+    wide = pa.array([-m for m in marks], pa.int64())
+    columns = [pa.array(marks, pa.int64()), text, pa.array([r[0] for r in rows], pa.int64()), wide, keys(False), keys(True), pa.array([marks.count(m) > 1 or None for m in marks])]
+    for out in suffixdedup._send(length, 3)(iter([pa.RecordBatch.from_arrays(columns, ["mark", "text", "doc_id", "wide", "send", "split", "copied"])])):
         for r in out.to_pylist():
             shards.setdefault(r["shard"], []).append(r)
     for held in shards.values():
         for r in suffixdedup._sort_shard(length)(pa.Table.from_pylist(held)).to_pylist():
-            assert r["mark"] == -r["who"]
-            spans.setdefault(r["who"], []).append((r["a"], r["b"]))
+            assert r["wide"] == -r["mark"]
+            entries.setdefault(r["mark"], []).append((r["doc"], r["wide"], r["a"], r["b"]))
     out = []
-    for w, r in zip(whos, rows, strict=True):
+    for m, r in zip(marks, rows, strict=True):
         b = (r[1] or "").encode()
-        runs, kept = suffixdedup.cut(b, np.array(spans.get(w, []), np.int64).reshape(-1, 2))
+        mine = tuple(np.array(entries.get(m, []), np.int64).reshape(-1, 4).T)
+        runs, kept = suffixdedup.cut(b, suffixdedup.spans_of(len(b), r[0], -m, mine, length))
         out.append((r[0], len(b), len(b) - len(kept), len(runs), sha(kept)))
     return sorted(out, key=repr)
 
