@@ -475,7 +475,7 @@ def _apply(length: int, digests: bool):
 
 def entries_of(spans: DataFrame) -> DataFrame:
     """(mark, docs, wides, a, b): one row a mark. Where larger ids lose all, nothing else is kept of them."""
-    kept = spans.groupBy("mark").agg(F.min("wide").alias("lo"), F.max("wide").alias("hi"), F.min(F.when(F.col("a") < 0, F.col("doc"))).alias("first"), F.collect_list(F.struct("doc", "wide", "a", "b")).alias("s"))
+    kept = spans.repartition("mark").groupBy("mark").agg(F.min("wide").alias("lo"), F.max("wide").alias("hi"), F.min(F.when(F.col("a") < 0, F.col("doc"))).alias("first"), F.collect_list(F.struct("doc", "wide", "a", "b")).alias("s"))
     rule = F.array(F.struct(F.col("first").alias("doc"), F.col("lo").alias("wide"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b")))
     few = F.concat(rule, F.filter("s", lambda x: (x["a"] >= 0) & (x["doc"] <= F.col("first"))))
     kept = kept.select("mark", F.when((F.col("lo") == F.col("hi")) & F.col("first").isNotNull(), few).otherwise(F.col("s")).alias("s"))
@@ -493,7 +493,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     none = [F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("boolean").alias("split")]
     copies = rows.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark", *none)
     pick = lambda split: F.collect_list(F.when(F.col("split") == split, F.col("anchor")))
-    by_text = verdicts.unionByName(copies).groupBy("mark").agg(pick(False).alias("send"), pick(True).alias("split"), F.max(F.col("anchor").isNull()).alias("copied"))
+    # Dealt out as plain rows: lists of one or two would travel as rows three times as wide.
+    by_text = verdicts.unionByName(copies).repartition("mark").groupBy("mark").agg(pick(False).alias("send"), pick(True).alias("split"), F.max(F.col("anchor").isNull()).alias("copied"))
     told = rows.join(by_text, "mark", "left")
     # Both joins take the same columns of ``rows`` by ``mark`` alone, so the texts are shuffled once.
     sent = told.select("mark", "text", "doc_id", "wide", "send", "split", "copied").mapInArrow(_send(length, partitions(spark, 2)), "shard int, kind int, units binary, data binary, body binary")
