@@ -33,6 +33,7 @@ from .simhash import fingerprint_of_hashes, links, shingle_hashes
 BANDS, ROWS = 24, 6
 CROWD, CENTRES = 16, 4
 _SLICE = 2048
+LOOK = 8
 #: Odd multipliers: with them a 64-bit hash is permuted, and the smallest product is a minimal hash.
 _FACTORS = np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -127,7 +128,10 @@ def _near(a, b, threshold: float):
 
 
 def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(u, v), u < v: all pairs of the classes ``left`` (cls, n, root), of different roots, that can reach the threshold."""
+    """(u, v), u < v: all pairs of the classes ``left`` (cls, n, root), of different roots, that can reach the threshold.
+
+    A pair may come more than once, but not again for a shingle with another common one among the LOOK before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,13 +145,15 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float, scratch: Sc
     held = tokens.join(often, "token").groupBy("cls", "n", "root").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
     own = F.col("n") - F.size("t")
     size = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - own
-    prefix = held.filter(size > 0).select("cls", "n", "root", own.alias("own"), F.posexplode(F.slice("t", F.lit(1), size.cast("int"))).alias("i", "t"))
+    prefix = held.filter(size > 0).select("cls", "n", "root", own.alias("own"), F.slice("t", F.lit(1), size.cast("int"))["token"].alias("p"))
+    prefix = prefix.select("*", F.posexplode("p").alias("i", "token"))
+    before = F.slice("p", F.greatest(F.col("i") - LOOK + 1, F.lit(1)), F.least(F.col("i"), F.lit(LOOK)))
     # From its first common shingle on, a pair has no more shingles in common than either set has left.
-    prefix, _ = scratch.write(prefix.select("cls", "n", "root", (F.col("n") - F.col("own") - F.col("i")).alias("rest"), "t.token"))
-    u, v = (prefix.select("token", *[F.col(a).alias(f"{b}{c}") for a, b in (("cls", ""), ("n", "n_"), ("root", "root_"), ("rest", "rest_"))]) for c in "uv")
+    prefix, _ = scratch.write(prefix.select("cls", "n", "root", (F.col("n") - F.col("own") - F.col("i")).alias("rest"), before.alias("before"), "token"))
+    u, v = (prefix.select("token", *[F.col(a).alias(f"{b}{c}") for a, b in (("cls", ""), ("n", "n_"), ("root", "root_"), ("rest", "rest_"), ("before", "before_"))]) for c in "uv")
     enough = F.least("rest_u", "rest_v") >= F.lit(threshold / (1 + threshold)) * (F.col("n_u") + F.col("n_v")) - F.lit(1e-9)
     meet = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & _near(F.col("n_u"), F.col("n_v"), threshold) & enough
-    return u.join(v, "token").filter(meet).select("u", "v").distinct()
+    return u.join(v, "token").filter(meet & ~F.arrays_overlap("before_u", "before_v")).select("u", "v")
 
 
 def text_hashes(text: Column) -> list[Column]:
@@ -189,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = crowded.select("val", "cls", "n").join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     split = label.groupBy("val").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("val")
     left, _ = scratch.write(label.join(split, "val", "left_semi").select("cls", "n", "root").distinct())
-    rest = prefix_pairs(left, sets, threshold, scratch).join(pairs, ["u", "v"], "left_anti")
+    rest = prefix_pairs(left, sets, threshold, scratch).distinct().join(pairs, ["u", "v"], "left_anti")
     more, _ = scratch.write(_verified(rest, sets, threshold))
     if not more.isEmpty():
         linked = connected(spark, edges.unionByName(more), scratch)
