@@ -10,7 +10,9 @@ Crowded buckets (over ``crowd`` classes): first each class meets the ``centres``
 in its size. Classes of a crowd that are then still in different components go through an exact similarity join by
 prefixes: with its shingles in order of their frequency among these classes, a set of n can reach the threshold t with
 another only if they share one of its first n - ceil(t n) + 1, with enough left behind it in both. These are its
-rarest, mostly its own, so texts of a crowd that do not link hardly meet. Pairs inside one component cannot change the groups and are left out.
+rarest, mostly its own, so texts of a crowd that do not link hardly meet. The frequencies come from a table of COUNTERS
+counters; shingles that share one are ordered by their hashes, and as any order common to all sets is exact, this can
+only cost pairs to verify. Pairs inside one component cannot change the groups and are left out.
 
 A text without words is the class of the empty set and links to no other. A null id is kept (a group of such rows
 alone has a null component_id); an empty table gives an empty result.
@@ -18,6 +20,7 @@ alone has a null component_id); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,9 @@ BANDS, ROWS = 24, 6
 CROWD, CENTRES = 16, 4
 _SLICE = 2048
 LOOK = 8
+#: Counters that order the shingles of crowds, 4 MB in every task whatever the input (a power of two).
+COUNTERS = 1 << 20
+_PART = 1 << 16
 #: Odd multipliers: with them a 64-bit hash is permuted, and the smallest product is a minimal hash.
 _FACTORS = np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -127,29 +133,51 @@ def _near(a, b, threshold: float):
     return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b) - F.lit(1e-9)
 
 
+def _often(sets: DataFrame) -> np.ndarray:
+    """How often shingles of ``sets`` (shingles) fall on each of COUNTERS counters, by their low bits; 0 for once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for shingles in batch.column(0).to_pylist():
+                np.add.at(held, np.frombuffer(shingles, np.int64) & (COUNTERS - 1), 1)
+        found = np.flatnonzero(held)
+        for at in range(0, len(found), _PART):
+            part = found[at : at + _PART]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], ["counter", "often"])
+
+    counted = sets.mapInArrow(run, "counter long, often long").groupBy("counter").agg(F.sum("often").alias("often")).filter("often > 1").toArrow()
+    table = np.zeros(COUNTERS, np.int32)
+    table[counted["counter"].to_numpy()] = np.minimum(counted["often"].to_numpy(), np.iinfo(np.int32).max)
+    return table
+
+
 def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(u, v), u < v: all pairs of the classes ``left`` (cls, n, root), of different roots, that can reach the threshold.
 
     A pair may come more than once, but not again for a shingle with another common one among the LOOK before it.
     """
+    sized, _ = scratch.write(left.join(sets, "cls").select("cls", "n", "root", "shingles"))
+    often = left.sparkSession.sparkContext.broadcast(_often(sized.select("shingles")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, held in enumerate(batch.column(3).to_pylist()):
                 token = np.frombuffer(held, np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(token), batch.column(k)[i].as_py())) for k in range(3)), pa.array(token)], ["cls", "n", "root", "token"])
-
-    tokens, _ = scratch.write(left.join(sets, "cls").select("cls", "n", "root", "shingles").mapInArrow(run, "cls long, n long, root long, token long"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
-    # Shingles of one class alone come first in its order, and meet nobody: they only shorten the rest of the prefix.
-    held = tokens.join(often, "token").groupBy("cls", "n", "root").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
-    own = F.col("n") - F.size("t")
-    size = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - own
-    prefix = held.filter(size > 0).select("cls", "n", "root", own.alias("own"), F.slice("t", F.lit(1), size.cast("int"))["token"].alias("p"))
-    prefix = prefix.select("*", F.posexplode("p").alias("i", "token"))
-    before = F.slice("p", F.greatest(F.col("i") - LOOK + 1, F.lit(1)), F.least(F.col("i"), F.lit(LOOK)))
+                seen = often.value[token & (COUNTERS - 1)]
+                # Shingles of one class alone come first in its order, and meet nobody: they only shorten the prefix.
+                own, size = int(np.count_nonzero(seen == 0)), len(token) - math.ceil(threshold * len(token) - 1e-9) + 1
+                prefix = token[np.lexsort((token, seen))[own:size]]
+                for at in range(0, len(prefix), _PART):
+                    place = np.arange(at, min(at + _PART, len(prefix)))
+                    ends = np.concatenate([[0], np.cumsum(np.minimum(place, LOOK))])
+                    inside = np.arange(ends[-1]) + np.repeat(np.maximum(place - LOOK, 0) - ends[:-1], np.diff(ends))
+                    before = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix[inside]))
+                    same = [pa.array(np.full(len(place), batch.column(k)[i].as_py())) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(len(token) - own - place), before, pa.array(prefix[place])], ["cls", "n", "root", "rest", "before", "token"])
+
     # From its first common shingle on, a pair has no more shingles in common than either set has left.
-    prefix, _ = scratch.write(prefix.select("cls", "n", "root", (F.col("n") - F.col("own") - F.col("i")).alias("rest"), before.alias("before"), "token"))
+    prefix, _ = scratch.write(sized.mapInArrow(run, "cls long, n long, root long, rest long, before array<long>, token long"))
     u, v = (prefix.select("token", *[F.col(a).alias(f"{b}{c}") for a, b in (("cls", ""), ("n", "n_"), ("root", "root_"), ("rest", "rest_"), ("before", "before_"))]) for c in "uv")
     enough = F.least("rest_u", "rest_v") >= F.lit(threshold / (1 + threshold)) * (F.col("n_u") + F.col("n_v")) - F.lit(1e-9)
     meet = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & _near(F.col("n_u"), F.col("n_v"), threshold) & enough
