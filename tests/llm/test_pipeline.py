@@ -3,6 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
+
+from concordat.llm import minhash
+from concordat.llm.common import Scratch
 
 from .conftest import SCHEMA
 
@@ -101,3 +106,30 @@ def test_unlabelled_documents_stay(spark):
     rows = [(1, "some words", None, "src0", 1), (2, "日本", None, None, 2), (3, " 12.\n", None, "src0", 4), (4, None, None, "src0", 0), (None, "x", None, "src0", 1)]
     got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted((rows[i] for i in (0, 1, 4)), key=repr)
+
+
+@pytest.mark.parametrize("counters", [minhash.COUNTERS, 16])
+def test_prefixes_lose_no_pair_of_a_crowd(spark, monkeypatch, counters):
+    """Every pair of other roots that reaches 0.8 is a candidate, also when many shingles share a counter."""
+    monkeypatch.setattr(minhash, "COUNTERS", counters)
+    rng = np.random.default_rng(3)
+    common, held = rng.integers(1, 1 << 62, 60), {}
+    for c in range(160):
+        own = rng.integers(1, 1 << 62, int(rng.integers(0, 16)))
+        held[c] = np.unique(np.concatenate([rng.permutation(common)[: int(rng.integers(44, 61))], own]).astype(np.uint64))
+    held[200] = np.unique(rng.integers(1, 1 << 62, 70_000).astype(np.uint64))  # over one part of a long prefix
+    held[201] = held[200][500:]
+    held[202] = held[203] = np.array([5], np.uint64)
+    root = {c: 0 if c % 5 == 0 and c < 160 else c for c in held}
+    left = spark.createDataFrame([(c, len(h), root[c]) for c, h in held.items()], "cls long, n long, root long")
+    sets = spark.createDataFrame([(c, h.tobytes()) for c, h in held.items()], "cls long, shingles binary").repartition(4)
+    found = {(r["u"], r["v"]) for r in minhash.prefix_pairs(left, sets, 0.8, Scratch(spark)).collect()}
+    wanted = {(a, b) for a in held for b in held if a < b and root[a] != root[b] and minhash.jaccard(held[a], held[b]) >= 0.8}
+    assert len(wanted) > 50 and {(200, 201), (202, 203)} <= wanted <= found
+    assert all(a < b and root[a] != root[b] for a, b in found)
+
+
+def test_prefixes_of_no_crowd(spark):
+    left = spark.createDataFrame([], "cls long, n long, root long")
+    sets = spark.createDataFrame([], "cls long, shingles binary")
+    assert minhash.prefix_pairs(left, sets, 0.8, Scratch(spark)).count() == 0
