@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -270,6 +271,55 @@ def test_language_edges(docs, crowded, empty, corpus):
     assert langid.identify(empty).count() == 0
 
 
+def plain_profile(text, vectors={}):  # the vectors are kept between calls
+    """A text's vector by its definition: rotated letter vectors multiplied for every trigram, then added."""
+    folded = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    folded = " " + " ".join(folded.split()) + " "
+    total = [0] * langid.DIMS
+    if folded.strip():
+        for gram, n in Counter(folded[i : i + 3] for i in range(len(folded) - 2)).items():
+            if gram not in vectors:
+                letters = [langid._letter_vector(ord(c)).tolist() for c in gram]
+                vectors[gram] = [letters[0][d - 2] * letters[1][d - 1] * letters[2][d] for d in range(langid.DIMS)]
+            total = [t + n * x for t, x in zip(total, vectors[gram], strict=True)]
+    norm = sum(t * t for t in total) ** 0.5
+    return [t / norm for t in total] if norm else None
+
+
+def test_language_is_brute_force(docs, corpus):
+    held_out = {d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in corpus}
+    profile = {text: plain_profile(text) for _, text, *_ in corpus}
+    sums = {}
+    for d, text, lang, *_ in corpus:
+        if d is not None and not held_out[d] and lang and profile[text]:
+            sums[lang] = [a + b for a, b in zip(sums.get(lang, [0] * langid.DIMS), profile[text], strict=True)]
+    cosine = {}
+    for text, row in profile.items():
+        if row:
+            cosine[text] = {g: sum(a * b for a, b in zip(row, s, strict=True)) / sum(x * x for x in s) ** 0.5 for g, s in sums.items()}
+    wanted = {(d, text) for d, text, *_ in corpus}
+    texts = docs.select("doc_id", "text").distinct()
+    got = langid.identify(docs).join(texts.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).collect()
+    one = {d for d, n in Counter(d for d, _ in wanted).items() if n == 1}
+    assert len(one) > 150 and len(sums) >= 2
+    for r in got:
+        if r["doc_id"] not in one:
+            continue
+        assert r["held_out"] == held_out[r["doc_id"]]
+        scores = cosine.get(r["text"])
+        if scores is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        else:
+            assert abs(min(1, max(0, scores[r["lang_pred"]])) - r["score"]) < 1e-5 and scores[r["lang_pred"]] >= max(scores.values()) - 1e-5
+
+
+def test_language_sees_the_text_alone(docs):
+    """Labels of held-out rows, sources and further columns change no prediction."""
+    other = F.when(langid.bucket() == 2, F.lit("xx")).otherwise(F.col("lang")).alias("lang")
+    changed = docs.select("doc_id", "text", other, F.lit("elsewhere").alias("source"), F.lit(9).alias("n_chars"))
+    assert rows_of(langid.identify(changed)) == rows_of(langid.identify(docs))
+
+
 def test_language_pieces_do_not_change_vectors(monkeypatch):
     texts = ["Some Words, and more wörds\n\nhere ", None, "", "a", "1 2 3"]
     whole = langid.bundle(texts)
